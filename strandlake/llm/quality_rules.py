@@ -138,13 +138,13 @@ def estimate(voted: DataFrame, rounds: int = ROUNDS) -> list[float]:
     return list(one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("p")).first()["p"])
 
 
-def judge(docs: DataFrame, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """docs, with features f, votes, base_failed, p_good and kept, as a table in the shared folder."""
+def judge(docs: DataFrame, text: str = "text", keep_from: float = KEEP_FROM, keep_text: bool = False) -> DataFrame:
+    """docs, with features f, votes, base_failed, p_good and kept, as a table in the shared folder; the text stays in it only on demand."""
     made = features(docs, text)
     f = F.col("f")
     made = made.withColumn("votes", F.array(*[F.coalesce(v, F.lit(0)) for v in rules(f).values()]))
     made = made.withColumn("base_failed", (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"]))
-    made = materialize(made, "quality-rules")
+    made = materialize(made if keep_text else made.drop(text), "quality-rules")
     p = estimate(made)
     good = _posterior(F.col("votes"), F.array(*[F.lit(x) for x in p]))
     return made.withColumn("p_good", good).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_from))
