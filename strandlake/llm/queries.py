@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .co_training import quality_scores
 from .common import table
+from .language_id import language_id
 from .license_scan import license_scan
 from .quality_rules import quality_rules
+from .token_file import token_file
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +38,5 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_source_mixing, op8_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_file, op3_language_id, op4_quality_rules, op7_source_mixing, op8_license_scan)}
 ORACLE: dict[str, str] = {"op7_source_mixing": mixing.ORACLE}
