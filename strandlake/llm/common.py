@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.plans.tables import materialize, new_path, shared_dir
+
+__all__ = ["SPACES", "let", "materialize", "new_path", "resource_sum", "shared_dir", "table", "words_of"]
+
 #: Words are runs of anything but a blank and the ASCII controls 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -17,27 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later jobs and lost executors start from the table."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often the body, or a lambda in it, uses it."""
     return F.transform(F.array(value), body)[0]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .co_training import quality_scores
 from .common import table
+from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .license_scan import license_scan
 from .quality_rules import quality_rules
@@ -38,5 +39,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_file, op3_language_id, op4_quality_rules, op7_source_mixing, op8_license_scan)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_file, op3_language_id, op4_quality_rules, op7_source_mixing, op8_license_scan, op9_jaccard_join)}
 ORACLE: dict[str, str] = {"op7_source_mixing": mixing.ORACLE}
