@@ -12,6 +12,7 @@ from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .license_scan import license_scan
 from .quality_rules import quality_rules
+from .suffix_dedup import repeated_passages
 from .token_file import token_file
 
 
@@ -31,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -43,5 +48,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_file, op3_language_id, op4_quality_rules, op7_source_mixing, op8_license_scan, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_file, op3_language_id, op4_quality_rules, op5_suffix_dedup, op7_source_mixing, op8_license_scan, op9_jaccard_join)}
 ORACLE: dict[str, str] = {"op7_source_mixing": mixing.ORACLE}
