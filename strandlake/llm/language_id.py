@@ -156,30 +156,31 @@ class Identifier:
             self.rows[first:need, j + 1] = np.add.reduceat(model.entropies(codes, depth), at)
         self.index.update(zip(words, range(first, need), strict=True))
 
-    def sums(self, text: str) -> np.ndarray | None:
-        """Characters, then bits by language; None without a letter."""
-        words = _WORD.findall(text.lower())
-        if not words:
-            return None
-        out = np.zeros(len(self.models) + 1)
-        for first in range(0, len(words), 50_000):
-            part = words[first : first + 50_000]
-            if len(self.index) > REMEMBERED:
-                self.index, self.rows = {}, np.zeros((1024, len(self.models) + 1))
-            if new := list(dict.fromkeys(w for w in part if w not in self.index)):
-                self.learn(new)
-            out += self.rows[np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))].sum(0)
-        return out
-
-    def identify(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """Language, score, cross-entropy in bits a character, rejected."""
-        found = self.sums(text) if text and self.models else None
-        if found is None:
+    def sums(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """For each text its characters, then its bits by language; None without a letter. New words of all texts are learnt at once."""
+        found = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        if len(self.index) > REMEMBERED:
+            self.index, self.rows = {}, np.zeros((1024, len(self.models) + 1))
+        new: set[str] = set()
+        for words in found:
+            new.update(words)
+        index = self.index
+        if new := sorted(w for w in new if w not in index):
+            for first in range(0, len(new), 100_000):
+                self.learn(new[first : first + 100_000])
+        return [self.rows[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(0) if words else None for words in found]
+
+    def identify(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """For each text: language, score, cross-entropy in bits a character, rejected."""
+        return [self._decide(s) for s in (self.sums(texts) if self.models else [None] * len(texts))]
+
+    def _decide(self, sums: np.ndarray | None) -> tuple[str, float, float | None, bool]:
+        if sums is None:
             return UNKNOWN, 0.0, None, True
-        bits = found[1:] / found[0]
+        bits = sums[1:] / sums[0]
         best = int(np.argmin(bits))
         # posterior of the best language, from bits of at most 64 characters: longer texts add no certainty
-        score = float(1 / np.exp2(-(bits - bits[best]) * min(found[0], 64.0)).sum())
+        score = float(1 / np.exp2(-(bits - bits[best]) * min(sums[0], 64.0)).sum())
         model = self.models[best]
         return self.names[best], score, float(bits[best]), bool(bits[best] > model.mean + REJECT * model.spread)
 
@@ -198,7 +199,7 @@ def train(rows: list[tuple[str, str]], order: int = ORDER) -> Identifier:
     models = {lang: Model(c, order) for lang, c in words.items() if c}
     out = Identifier(models)
     for j, lang in enumerate(out.names):
-        bits = [s[j + 1] / s[0] for t in held.get(lang, []) if (s := out.sums(t)) is not None and s[0] >= 40]
+        bits = [x[j + 1] / x[0] for x in out.sums(held.get(lang, [])) if x is not None and x[0] >= 40]
         if bits:
             out.models[j].mean, out.models[j].spread = float(np.mean(bits)), float(max(np.std(bits), 0.05))
         else:
@@ -234,7 +235,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            found = [own.identify(t) for t in batch.column("text").to_pylist()]
+            found = own.identify(batch.column("text").to_pylist())
             columns = [pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score", "bits", "rejected"])
 
