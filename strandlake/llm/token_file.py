@@ -7,7 +7,9 @@ a fixed size, and page indexes (written by default) let a reader that asks for s
 pages, and one that asks for metadata never touch the tokens.
 
 Encoding: the tokenizer drops white space and never merges over it, so each run of other characters
-is encoded by the library once and remembered, in a store of bounded size in each Python worker.
+is encoded by the library once and remembered, in a store in each Python worker that is emptied when
+it passes REMEMBERED runs. New runs go to the library as one text, cut
+where the tokenizer cuts: an id that ends a word tells where a part stops.
 Python sees one Arrow batch at a time, of at most BATCH_ROWS documents.
 
 Order: documents are dealt by ranges of doc_id and sorted within them, so hot values of other columns
@@ -20,9 +22,12 @@ the same doc_id are ordered by length, then text. An empty table gives an empty
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,9 +36,7 @@ from .common import new_path
 
 END_ID = 2
 #: Runs remembered by a Python worker; documents in a batch; bytes of a row group and of a page.
-REMEMBERED, BATCH_ROWS, ROW_GROUP, PAGE = 500_000, 512, 32 << 20, 256 << 10
-#: Bytes of text that one task encodes.
-TASK_CHARS = 12_000_000
+REMEMBERED, BATCH_ROWS, ROW_GROUP, PAGE = 600_000, 512, 32 << 20, 256 << 10
 
 _SCHEMA = "doc_id bigint, n_tokens bigint, crc bigint, tokens array<int>"
 
@@ -46,19 +49,57 @@ class RunEncoder(dict):
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= self.most:
+        model = json.loads(self.tokenizer.to_str())["model"]
+        suffix = model["end_of_word_suffix"]
+        self.ends = np.zeros(max(model["vocab"].values()) + 3, bool)
+        if suffix:
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that the tokenizer never joins: as one text, cut after each id that ends a part."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts):
+            return [self._run(w) for w in parts]
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _run(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        if len(self) > self.most:
             self.clear()
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(run) <= 64:
-            self[run] = out
-        return out
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
-
+        # The library lower-cases each character alone; a capital sigma's lower case depends on its place here.
+        runs = [(t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
+        new: set[str] = set()
+        for r in runs:
+            new.update(r)
+        new.difference_update(self.keys() & new)
+        whole, cut, parts = [], {}, set()
+        for r in new:
+            if r.isalpha() and r.isascii():
+                parts.add(r)
+            elif r.isprintable() and _PLAIN(r):
+                cut[r] = p = _PARTS(r)
+                parts.update(p)
+            elif r:
+                whole.append(r)
+        todo = sorted(p for p in parts if p not in self)
+        for first in range(0, len(todo), 20_000):
+            some = todo[first : first + 20_000]
+            self.update(zip(some, self._parts(some), strict=True))
+        for r, p in cut.items():
+            self[r] = b"".join(map(self.__getitem__, p))
+        for r in whole:
+            self[r] = self._run(r)
+        self[""] = b""
+        return [b"".join(map(self.__getitem__, r)) for r in runs]
+
+
+#: Runs of letters that normal form C leaves alone and ASCII marks without quotes or angle brackets: the library cuts them between letters and marks.
+_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff!-&(-/:;=?@\[-`{-~]+").fullmatch
+_PARTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[!-&(-/:;=?@\[-`{-~]+").findall
 
 _encoders: dict[str, RunEncoder] = {}
 
@@ -72,8 +113,8 @@ def _encode(path: str, end_id: int):
         encoder = _encoders[path]
         for batch in batches:
             parts, ends, crcs = [], [0], []
-            for text in batch.column("text").to_pylist():
-                ids = encoder.text(text or "") + end
+            for ids in encoder.texts(batch.column("text").to_pylist()):
+                ids += end
                 parts.append(ids)
                 ends.append(ends[-1] + len(ids) // 4)
                 crcs.append(zlib.crc32(ids))
@@ -89,9 +130,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Encodes docs (doc_id, text) and writes the files of the format to path."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(1, min(100_000, -(-total // TASK_CHARS)))
-    ordered = own.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
+    ordered = own.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.enable.dictionary": "true"}
     ordered.mapInArrow(_encode(tokenizer, end_id), _SCHEMA).write.options(**options).parquet(path)
