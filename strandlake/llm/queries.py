@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .byte_bpe import byte_bpe
 from .co_training import quality_scores
 from .common import table
 from .jaccard_join import jaccard_components
@@ -14,6 +15,7 @@ from .license_scan import license_scan
 from .quality_rules import quality_rules
 from .suffix_dedup import repeated_passages
 from .token_file import token_file
+from .topk_search import top_k
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -48,5 +54,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_file, op3_language_id, op4_quality_rules, op5_suffix_dedup, op7_source_mixing, op8_license_scan, op9_jaccard_join)}
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_file, op3_language_id, op4_quality_rules, op5_suffix_dedup, op6_byte_bpe, op7_source_mixing, op8_license_scan, op9_jaccard_join, op10_topk_search)}
 ORACLE: dict[str, str] = {"op7_source_mixing": mixing.ORACLE}
