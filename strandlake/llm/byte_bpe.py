@@ -6,31 +6,36 @@ as literals (hash buckets over sorted arrays), so a lookup costs the same whatev
 
 The fold over one word keeps its ids and the ranks of its adjacent pairs; each step merges the pair of
 least rank, the first of several, and looks up the two pairs that are new. It ends when no pair has a
-rank. Words come from the tokenizer's split pattern. The words that a bounded sample of documents
-shows to be commonest are distinct words folded once; their ids are another literal, so that a text
-folds only its rarer words. Which words these are changes no result.
+rank. Words come from the tokenizer's split pattern.
 
-Decoding joins the binary pieces of the ids and is independent of the encoder's words.
+Folding every word of every text that way costs several times the time allowed (README), so the
+commonest words of a sample, a bounded number of distinct words, are folded once by the higher-order
+functions and broadcast with the ranks; Python workers put texts together from them and fold each rarer
+distinct word once, by the same merges. Which words are common changes no result. `encode_native` is
+the form without Python.
 
-Everything runs in a document's own row, in one pass: no explode, join or shuffle, no Python.
+Decoding joins the binary pieces of the ids and knows nothing of the words.
 
-Edge cases: a null text is an empty one, with no ids. Long texts are many words; one word of m bytes
-takes at most m steps of cost m, so only a single unbroken run of some 100,000 letters or blanks is
-slow. Empty tables give empty results; repeated rows are encoded each on its own.
+Edge cases: a null text is an empty one, with no ids. A very long word is folded with a heap. Empty
+tables give empty results; repeated rows are encoded each on its own. No row is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialize
 
 #: Distinct words folded once, from a sample of so many documents.
-COMMON_WORDS, SAMPLE_DOCS = 131_072, 12_000
-PAIR_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
+COMMON_WORDS, SAMPLE_DOCS, REMEMBERED = 65_536, 8_000, 500_000
+PAIR_BUCKETS = 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,11 +103,12 @@ class Encoder:
 
             def merge(m: Column) -> Column:
                 def at(i: Column) -> Column:
-                    left = F.when(i > 1, F.array(self.rank(F.get(t, i - 2), m))).otherwise(none)
-                    right = F.when(i + 1 < F.size(t), F.array(self.rank(m, F.get(t, i + 1)))).otherwise(none)
+                    sides = F.array(F.struct(F.get(t, i - 2).alias("a"), m.alias("b")), F.struct(m.alias("a"), F.get(t, i + 1).alias("b")))
+                    new = F.transform(sides, lambda x: self.rank(x["a"], x["b"]))
+                    around = F.slice(new, F.when(i > 1, 1).otherwise(2), F.when(i > 1, 1).otherwise(0) + F.when(i + 1 < F.size(t), 1).otherwise(0))
                     return F.struct(
                         F.concat(F.slice(t, F.lit(1), i - 1), F.array(m), F.slice(t, i + 2, F.size(t))).alias("t"),
-                        F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(t))).alias("r"),
+                        F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), around, F.slice(r, i + 2, F.size(t))).alias("r"),
                     )
 
                 return F.when(m.isNull(), state).otherwise(let(F.array_position(r, m).cast("int"), at))
@@ -124,47 +130,111 @@ class Encoder:
         return F.when(ids == "", F.lit(b"")).otherwise(F.unhex(joined))
 
 
-def common_words(docs: DataFrame, encoder: Encoder, most: int = COMMON_WORDS, sample: int = SAMPLE_DOCS) -> list[tuple[int, str, str]]:
-    """(bucket, word, ids) of the commonest words in the sample, at most `most`: each folded once."""
-    picked = docs.where("text is not null").orderBy(F.xxhash64("doc_id")).limit(sample) if "doc_id" in docs.columns else docs.limit(sample)
-    words = picked.select(F.explode(encoder.words(F.col("text"))).alias("w")).where((F.length("w") <= 32) & ~F.col("w").contains("\x01"))
+def common_words(docs: DataFrame, encoder: Encoder, most: int = COMMON_WORDS, sample: int = SAMPLE_DOCS) -> dict[str, str]:
+    """Ids, in decimal, of the commonest words in about `sample` documents, at most `most` words: each is folded once."""
+    share = min(1.0, sample / max(docs.count(), 1))
+    picked = docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    words = picked.select(F.explode(encoder.words(F.col("text"))).alias("w")).where(F.length("w") <= 32)
     top = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most).select("w")
+    # from a table of their own: the one plan that holds the literals then is a scan, a projection and no more
     tasks = max(1, min(64, docs.sparkSession.sparkContext.defaultParallelism * 2))
-    rows = top.repartition(tasks).select(F.pmod(F.xxhash64("w"), F.lit(WORD_BUCKETS)).cast("int").alias("b"), "w", encoder.ids_text(F.col("w")).alias("ids")).collect()
-    return [(r["b"], r["w"], r["ids"]) for r in rows]
+    rows = materialize(top.repartition(tasks), "common-words").select("w", encoder.ids_text(F.col("w")).alias("ids")).collect()
+    return {r["w"]: r["ids"] for r in rows}
+
+
+class WordIds(dict):
+    """Word -> its ids in decimal, each followed by a blank. Words not seen before are folded here, by the same merges."""
+
+    def __init__(self, common: dict[str, str], ranks: dict[bytes, int], most: int = REMEMBERED):
+        super().__init__()
+        self.common, self.ranks, self.most = {w: f"{ids} " for w, ids in common.items()}, ranks, most
+        self.update(self.common)
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.common)
+        out = "".join(f"{i} " for i in fold(word.encode("utf-8"), self.ranks))
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
+def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word: the pair of least rank, the first of several, is merged until no pair has a rank. A heap of pairs keeps long words cheap."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    n = len(word)
+    if n > 64:
+        return _fold_long(word, ranks)
+    parts = [word[i : i + 1] for i in range(n)]
+    none = len(ranks) + 256
+    pairs = [ranks.get(parts[i] + parts[i + 1], none) for i in range(n - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    n = len(word)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i] if alive[i] else n
+        if j >= n or not alive[j] or end[j] != stop:
+            continue
+        alive[j], end[i], after[i] = False, end[j], after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := ranks.get(word[i : end[after[i]]])) is not None:
+                heapq.heappush(heap, (r, i, end[after[i]]))
+        if (p := before[i]) >= 0 and (r := ranks.get(word[p : end[i]])) is not None:
+            heapq.heappush(heap, (r, p, end[i]))
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+_stores: dict[int, tuple] = {}
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = COMMON_WORDS) -> DataFrame:
-    """docs with a column ids: the ids of text in decimal, joined by blanks."""
+    """doc_id, ids (in decimal, joined by blanks), n_tokens, decoded (bytes, from the ids alone) of each row of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((common_words(docs, Encoder(ranks, pattern), most), ranks, pattern))
+    number = sent._jbroadcast.id()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if number not in _stores:
+            common, own, split = sent.value
+            _stores.clear()
+            _stores[number] = (WordIds(common, own), regex.compile(split).findall, {str(r): t for t, r in own.items()})
+        words, split, pieces = _stores[number]
+        for batch in batches:
+            ids = ["".join(map(words.__getitem__, split(t or ""))) for t in batch.column("text").to_pylist()]
+            decoded = [b"".join(map(pieces.__getitem__, x.split())) for x in ids]
+            counts = pa.array([x.count(" ") for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[:-1] for x in ids], pa.string()), counts, pa.array(decoded, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids string, n_tokens bigint, decoded binary")
+
+
+def encode_native(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """The same by higher-order functions alone: every word of a text is folded in its row."""
     encoder = Encoder(ranks, pattern)
-    starts, words, ids = _buckets(common_words(docs, encoder, most), WORD_BUCKETS)
-    one = encoder.ids_text
-    if words:
-        begin = _ints(starts)
-        known, known_ids = F.split(F.lit("\x01".join(words)), "\x01"), F.split(F.lit(",".join(ids)), ",")
-
-        def one(w: Column) -> Column:  # noqa: F811
-            def look(b: Column) -> Column:
-                first = F.get(begin, b)
-                place = F.array_position(F.slice(known, first + 1, F.get(begin, b + 1) - first), w)
-                return let(place, lambda p: F.when(p > 0, F.get(known_ids, (first + p - 1).cast("int"))).otherwise(encoder.ids_text(w)))
-
-            return let(F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"), look)
-
-    return docs.withColumn("ids", F.array_join(F.transform(encoder.words(F.coalesce("text", F.lit(""))), one), " "))
-
-
-def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """encoded with a column decoded: the bytes of the ids."""
-    return encoded.withColumn("decoded", Encoder(ranks, pattern).decode(F.col("ids")))
+    ids = F.array_join(F.transform(encoder.words(F.coalesce("text", F.lit(""))), encoder.ids_text), " ")
+    return docs.select("doc_id", let(ids, lambda x: F.struct(x.alias("ids"), encoder.decode(x).alias("decoded"))).alias("e")).select("doc_id", "e.ids", "e.decoded")
 
 
 def byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ranks = read_ranks(path)
-    encoder = Encoder(ranks, pattern)
-    ids = F.col("ids")
-    n = F.when(ids == "", 0).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(" "), F.lit(""))) + 1).cast("bigint")
-    digest = F.struct(n.alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(encoder.decode(ids), 256).alias("decoded_sha256"))
-    encoded = encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", let(ids, lambda x: F.struct(x.alias("ids"))).alias("e"))
-    return encoded.select("doc_id", F.col("e.ids").alias("ids")).select("doc_id", digest.alias("d")).select("doc_id", "d.*")
+    encoded = encode(docs, read_ranks(path), pattern)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
