@@ -97,6 +97,7 @@ class Scheme:
             n += 1
         self.boundary = n
         self.starts: list[int] = [n]
+        self.groups: dict[int, int] = {}
 
     def _light_sizes(self, n: int) -> list[int]:
         """Sizes of the subsets that a set of n enumerates: overlaps with partners up to the boundary."""
@@ -118,10 +119,16 @@ class Scheme:
         out = []
         for j in (at - 1, at):
             if j >= 0:
-                top = self.starts[j + 1] - 1
-                out.append((self.starts[j], max(differing(a, self.percent) for a in range(max(self.starts[j], top - 40), top + 1)) + 1 + SPARE))
+                out.append((self.starts[j], self._groups(j)))
         return out
 
+    def _groups(self, j: int) -> int:
+        """Groups of a class, worked out once: the most shingles that differ, 1, and SPARE."""
+        if j not in self.groups:
+            top = self.starts[j + 1] - 1
+            self.groups[j] = max(differing(a, self.percent) for a in range(max(self.starts[j], top - 40), top + 1)) + 1 + SPARE
+        return self.groups[j]
+
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Keys of a sorted set: linked sets that differ share at least one."""
         n = len(s)
@@ -290,7 +297,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     return keyed.select("doc_id", "n_shingles", "node").join(shared, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
+def one_of_each(docs: DataFrame, ngram: int = 5, percent: int = 90) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component, one row a doc_id; null doc_ids stay."""
     own = docs.columns
     kept = jaccard_components(docs, ngram, percent).where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
