@@ -16,9 +16,9 @@ IUPAC_COMPLEMENT = "WSTAACGRYMKVHDBNwstaacgrymkvhdbn"
 SEED_FACTOR = 2654435761
 
 
-def dna(text: Column, most: int = 2000) -> Column:
-    """The letters A, C, G and T of a text's start: the DNA projection of a text table."""
-    return F.regexp_replace(F.upper(F.substring(text, 1, most)), "[^ACGT]", "")
+def dna(text: Column) -> Column:
+    """The letters A, C, G and T of a whole text: the DNA projection of a text table."""
+    return F.regexp_replace(F.upper(text), "[^ACGT]", "")
 
 
 def complement(base: Column) -> Column:
@@ -54,22 +54,8 @@ def int_to_kmer(n: Column, k: int | None = None) -> Column:
 
 
 def kmer_strings(seq: Column, k: int) -> Column:
-    """All k-mers of a sequence in order; empty where it is shorter than k."""
-    n = F.length(seq)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-
-def kmer_ints(seq: Column, k: int) -> Column:
-    """All k-mers as integers, rolling: one shift, or and mask a base."""
-    mask = (1 << (2 * k)) - 1
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), lambda i: (F.instr(F.lit("ATCG"), F.substring(seq, i, F.lit(1))) - 1).cast("bigint"))
-    rolled = F.aggregate(
-        codes,
-        F.struct(F.lit(0).cast("bigint").alias("h"), F.array().cast("array<bigint>").alias("all")),
-        lambda a, c: F.struct(F.shiftleft(a["h"].bitwiseAND(F.lit(mask >> 2)), 2).bitwiseOR(c).alias("h"), F.concat(a["all"], F.array(F.shiftleft(a["h"].bitwiseAND(F.lit(mask >> 2)), 2).bitwiseOR(c))).alias("all")),
-        lambda a: F.slice(a["all"], F.lit(k), F.size(a["all"])),
-    )
-    return F.when(F.length(seq) >= k, rolled).otherwise(F.array().cast("array<bigint>"))
+    """All k-mers of a sequence in order, in one pass; empty where it is shorter than k."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
 def seeds(k: int, n: int) -> list[int]:
@@ -106,14 +92,15 @@ def hash64(key: Column, bits: int) -> Column:
 
 def is_repetitive(seq: Column, ratio: float = 0.7) -> Column:
     """Whether, for a shift of 1 to 6, more than `ratio` of the bases equal the base that far on, around the end."""
-    n = F.length(seq)
+    def test(bases: Column) -> Column:
+        n = F.size(bases)
+
+        def share(shift: Column) -> Column:
+            return F.size(F.filter(bases, lambda x, i: x == F.get(bases, (i + shift) % n))) / n
 
-    def share(shift: Column) -> Column:
-        moved = F.concat(F.substring(seq, shift + 1, n), F.substring(seq, F.lit(1), shift))
-        same = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(1)) == F.substring(moved, i, F.lit(1)))
-        return F.size(same) / n
+        return F.exists(F.sequence(F.lit(1), F.lit(6)), lambda s: (s < n) & (share(s) > ratio))
 
-    return F.when(n < 1, False).otherwise(F.exists(F.sequence(F.lit(1), F.lit(6)), lambda s: (s < n) & (share(s) > ratio)))
+    return F.when(F.length(seq) < 1, False).otherwise(F.transform(F.array(F.split(seq, "")), test)[0])
 
 
 def tail_homopolymer(seq: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
+from strandlake.operators import edits
 from strandlake.operators import sketches as K
 from strandlake.operators.components import connected_components
 
@@ -17,7 +18,7 @@ KMER, HASHES, LEAST = 15, 20, 6
 ALIGN_K, ALIGN_LEAST = 8, 10
 MINIMIZER_K, MINIMIZER_W = 15, 10
 
-READS = "reads as (select doc_id as read_id, regexp_replace(upper(substring(text, 1, 2000)), '[^ACGT]', '', 'g') as seq from documents)"
+READS = "reads as (select doc_id as read_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents)"
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +87,10 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("read_id", S.reverse_complement(F.col("seq")).alias("rc"), S.complement(F.col("seq")).alias("comp"))
 
 
-@query("iupac_revcomp", "select doc_id, translate(reverse(substring(text, 1, 200)), 'WSATUGCYRKMBDHVNwsatugcyrkmbdhvn', 'WSTAACGRYMKVHDBNwstaacgrymkvhdbn') as rc from documents")
+@query("iupac_revcomp", "select doc_id, translate(reverse(text), 'WSATUGCYRKMBDHVNwsatugcyrkmbdhvn', 'WSTAACGRYMKVHDBNwstaacgrymkvhdbn') as rc from documents")
 def iupac_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", S.iupac_reverse_complement(F.substring("text", 1, 200)).alias("rc"))
+    return d.select("doc_id", S.iupac_reverse_complement(F.col("text")).alias("rc"))
 
 
 @query("base_codes", f"with {READS} select read_id, translate(seq, 'ATCG', '0123') as codes, translate(seq, 'ACGT', '0123') as nt4 from reads")
@@ -102,11 +103,10 @@ def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.kmers(reads(spark, sf_dir), 11).groupBy("read_id").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("kinds"), F.sum("kmer").alias("total"))
 
 
-@query("int_to_kmer", f"with {READS} select read_id, substring(seq, 1, 12) as kmer, {_code_sql('substring(seq, 1, 12)')} as code from reads where len(seq) >= 12")
+@query("int_to_kmer", f"with {READS}, {_ints_sql(12)} select ki.read_id, ki.pos, km.s as kmer, ki.kmer as code from ki join km on km.read_id = ki.read_id and km.pos = ki.pos")
 def int_to_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-mer to integer and back."""
-    first = reads(spark, sf_dir).where(F.length("seq") >= 12).select("read_id", S.kmer_to_int(F.substring("seq", 1, 12)).alias("code"))
-    return first.select("read_id", S.int_to_kmer(F.col("code"), 12).alias("kmer"), "code")
+    """Each k-mer to an integer and back."""
+    return K.kmers(reads(spark, sf_dir), 12).select("read_id", F.col("pos").cast("bigint").alias("pos"), S.int_to_kmer(F.col("kmer"), 12).alias("kmer"), F.col("kmer").alias("code"))
 
 
 @query(
@@ -141,7 +141,7 @@ def sketch_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sketch_join_benchmark",
     f"""with {_sketch_sql(KMER, HASHES)},
-    breads as (select item_id as read_id, regexp_replace(upper(substring(text, 1, 2000)), '[^ACGT]', '', 'g') as seq from benchmark),
+    breads as (select item_id as read_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from benchmark),
     bkm as (select read_id, substring(seq, i, {KMER}) as s from (select read_id, seq, unnest(generate_series(1, len(seq) - {KMER - 1})) as i from breads where len(seq) >= 32)),
     bsk as (select read_id, hash_idx, min(xor({_code_sql("s")}, r)) as min_hash from bkm, seeds group by read_id, hash_idx)
     select x.read_id as a, y.read_id as b, count(*) as matches from sk x join bsk y using (hash_idx, min_hash) group by all having count(*) >= {LEAST}""",
@@ -285,3 +285,11 @@ def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = Window.partitionBy("source").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = delta_encode(spark, sf_dir).withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return own.select("source", F.sum("delta").over(running).alias("doc_id"))
+
+
+@query("roundtrip", f"with {READS} select read_id, seq from reads")
+def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads encoded as contig references, edit scripts and lone reads, then decoded."""
+    own = reads(spark, sf_dir)
+    contigs, placements, lone = edits.encode(own, components(spark, sf_dir)[1])
+    return edits.decode(materialize(contigs, "contigs"), materialize(placements, "placements"), materialize(lone, "lone"))
