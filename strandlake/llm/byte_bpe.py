@@ -26,6 +26,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import let, materialize
 
 #: Distinct words folded once, from a sample of so many documents.
-COMMON_WORDS, SAMPLE_DOCS, REMEMBERED = 65_536, 8_000, 500_000
+COMMON_WORDS, SAMPLE_DOCS, REMEMBERED = 16_384, 4_000, 500_000
 PAIR_BUCKETS = 1 << 14
 
 
@@ -48,30 +49,18 @@ def _ints(values, kind: str = "int") -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _buckets(items: list[tuple[int, object, object]], buckets: int) -> tuple[list[int], list, list]:
-    """Starts, keys and values of (bucket, key, value) items."""
-    items.sort(key=lambda x: x[0])
-    starts = [0] * (buckets + 1)
-    for b, _, _ in items:
-        starts[b + 1] += 1
-    for b in range(buckets):
-        starts[b + 1] += starts[b]
-    return starts, [k for _, k, _ in items], [v for _, _, v in items]
-
-
 class Encoder:
     """Expressions for one rank file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # Java's classes for white space and letters are those of ASCII unless told otherwise
         self.pattern = F.lit("(?U)" + pattern)
-        pairs = []
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    pairs.append(((a * 7919 + b * 31337) % PAIR_BUCKETS, a * 65536 + b, rank))
-        starts, keys, values = _buckets(pairs, PAIR_BUCKETS)
+        found = ((a, b, rank) for token, rank in ranks.items() for cut in range(1, len(token)) if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None)
+        pairs = np.fromiter((x for p in found for x in p), np.int64).reshape(-1, 3)
+        bucket = (pairs[:, 0] * 7919 + pairs[:, 1] * 31337) % PAIR_BUCKETS
+        pairs = pairs[np.argsort(bucket, kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=PAIR_BUCKETS))]).tolist()
+        keys, values = (pairs[:, 0] * 65536 + pairs[:, 1]).tolist(), pairs[:, 2].tolist()
         self.starts, self.keys, self.values = _ints(starts), _ints(keys, "bigint"), _ints(values)
         self.byte_ids = _ints([ranks[bytes([x])] for x in range(256)])
         pieces = [b""] * (max(ranks.values()) + 1)
@@ -138,8 +127,8 @@ def common_words(docs: DataFrame, encoder: Encoder, most: int = COMMON_WORDS, sa
     top = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most).select("w")
     # from a table of their own: the one plan that holds the literals then is a scan, a projection and no more
     tasks = max(1, min(64, docs.sparkSession.sparkContext.defaultParallelism * 2))
-    rows = materialize(top.repartition(tasks), "common-words").select("w", encoder.ids_text(F.col("w")).alias("ids")).collect()
-    return {r["w"]: r["ids"] for r in rows}
+    rows = materialize(top.repartition(tasks), "common-words").select("w", encoder.ids_text(F.col("w")).alias("ids")).toArrow()
+    return dict(zip(rows["w"].to_pylist(), rows["ids"].to_pylist(), strict=True))
 
 
 class WordIds(dict):
