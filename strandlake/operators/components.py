@@ -2,7 +2,7 @@
 
 Each round lowers a node's label to the least label among its neighbours, then replaces the label by
 its own label. Both steps are a join and a partial aggregate; nothing is collected but the count of
-labels that changed. Rounds are written to the shared folder, so lineage stays short.
+labels that changed. Rounds are written to the shared folder, so lineage stays short; a round's table goes when the next is written.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.plans.tables import materialize
+from strandlake.plans.tables import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
@@ -24,7 +24,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
         moved = hooked.join(jump, F.col("new") == F.col("at")).select("node", F.col("label").alias("old"), F.least("new", "further").alias("label"))
         moved = materialize(moved, "labels")
+        discard(labels)
         labels = moved.select("node", "label")
         if moved.where("label <> old").isEmpty():
+            discard(both)
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")

@@ -27,3 +27,13 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     path = new_path(spark, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote, once everything made from them is a table itself; views over several of them lose all."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if "/strandlake/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
