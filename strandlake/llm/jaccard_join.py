@@ -12,7 +12,8 @@ enters the lists of its own class and of the one below, as the smaller and as th
 The boundary is where the cost of enumerating subsets passes that of entering and scanning lists.
 
 Lists give stars (member, least member), whose components are the candidate groups: every link lies
-within one. Groups are cut into blocks by hash. Round 1 compares within blocks, round 2 all nodes
+within one. Before these are worked out, each node keeps one pair and its other least members are linked
+to the same one. Groups are cut into blocks by hash. Round 1 compares within blocks, round 2 all nodes
 outside their group's largest component with all blocks of the group: what is linked already needs no
 second look, so a huge group of near copies costs about its size, and no link between components is
 missed. A comparison scans inverted lists of one block's shingles and counts exactly. A task returns
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.components import connected_components
 
-from .common import materialize
+from .common import discard, materialize
 
 NGRAM, PERCENT = 3, 90
 #: Groups of shingles that may be empty in a set without leaving its lists.
@@ -259,7 +260,13 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     nodes = keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
     lists = Window.partitionBy("key")
     stars = nodes.select("node", F.explode("keys").alias("key")).withColumn("least", F.min("node").over(lists)).where("node <> least")
-    candidates = connected_components(stars.select("node", "least").distinct(), "node", "least")
+    # a node of several least members is linked to the first of them only, and the others are linked to it: most nodes of a large group share these pairs
+    met = stars.withColumn("first", F.min("least").over(Window.partitionBy("node")))
+    pairs = met.select(F.when(F.col("least") == F.col("first"), F.col("node")).otherwise(F.col("least")).alias("node"), "first").distinct()
+    candidates = connected_components(pairs, "node", "first")
+    # from here on no keys are needed
+    full, keyed = keyed, materialize(keyed.drop("keys"), "shingle-nodes")
+    discard(full)
 
     # the candidates' sets, made again from their texts, so that no set is stored for documents without any partner
     sized = candidates.groupBy("component").agg(F.count("*").alias("size"))
@@ -288,8 +295,10 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     same = keyed.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("dst"), F.count_distinct("node").alias("n")).where("n > 1")
     others = keyed.join(same.select("doc_id", "src"), "doc_id").select("src", F.col("node").alias("dst")).where("dst is not null")
     every = materialize(links.unionByName(more).unionByName(others).where("src <> dst"), "links")
+    discard(candidates, sets, links, first)
 
     component = connected_components(every)
+    discard(every)
     reached = keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     named = reached.join(component, "node", "left")
     whole = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MIN_WORDS, KGRAM, WINDOW, NEIGHBOURS = 50, 24, 25, 8
 
@@ -231,10 +231,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = shared.join(texts.select("text_id", "rep"), "text_id").select(F.col("text_id").alias("want"), "positions", "rep")
     found = own.join(wanted, (F.col("doc_id").eqNullSafe(F.col("rep"))) & (F.col("text_id") == F.col("want"))).select("text", "doc_id", "text_id", "positions")
     suffixes = materialize(found.mapInArrow(_suffixes, "suffix string, before string, doc_id bigint, text_id bigint, pos int"), "suffixes")
+    discard(places)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     array = suffixes.repartitionByRange(tasks, "suffix", "text_id", "pos").sortWithinPartitions("suffix", "text_id", "pos")
     compared = materialize(array.mapInArrow(_neighbours, _FOUND), "neighbours")
+    discard(suffixes)
     ends = compared.where("edge is not null").repartition(1).sortWithinPartitions("edge", "side", "nth")
     spans = compared.where("edge is null").unionByName(ends.mapInArrow(_borders, _FOUND))
 
