@@ -71,21 +71,28 @@ class Encoder:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, self.pattern, F.lit(0))
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """Rank of two ids joined, or null."""
+    def tables(self) -> Column:
+        """The rank map as one literal struct: a plan names it once, and lambdas refer to it."""
+        return F.struct(self.starts.alias("starts"), self.keys.alias("keys"), self.values.alias("values"), self.byte_ids.alias("byte_ids"))
+
+    def rank(self, m: Column, a: Column, b: Column) -> Column:
+        """Rank of two ids joined by the tables m, or null."""
         at = (a * 7919 + b * 31337) % PAIR_BUCKETS
         key = a.cast("bigint") * 65536 + b
-        first = F.get(self.starts, at)
-        place = F.array_position(F.slice(self.keys, first + 1, F.get(self.starts, at + 1) - first), key)
-        return let(place, lambda p: F.when(p > 0, F.get(self.values, (first + p - 1).cast("int"))))
+        first = F.get(m["starts"], at)
+        place = F.array_position(F.slice(m["keys"], first + 1, F.get(m["starts"], at + 1) - first), key)
+        return let(place, lambda p: F.when(p > 0, F.get(m["values"], (first + p - 1).cast("int"))))
 
     def fold(self, word: Column) -> Column:
         """Ids of a word."""
+        return let(self.tables(), lambda m: self._fold(m, word))
+
+    def _fold(self, tables: Column, word: Column) -> Column:
         none = F.array().cast("array<int>")
 
         def start(h: Column) -> Column:
-            ids = F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.get(self.byte_ids, F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
-            return let(ids, lambda t: F.struct(t.alias("t"), F.when(F.size(t) < 2, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: self.rank(F.get(t, i), F.get(t, i + 1)))).alias("r")))
+            ids = F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.get(tables["byte_ids"], F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+            return let(ids, lambda t: F.struct(t.alias("t"), F.when(F.size(t) < 2, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: self.rank(tables, F.get(t, i), F.get(t, i + 1)))).alias("r")))
 
         def step(state: Column, _: Column) -> Column:
             t, r = state["t"], state["r"]
@@ -93,7 +100,7 @@ class Encoder:
             def merge(m: Column) -> Column:
                 def at(i: Column) -> Column:
                     sides = F.array(F.struct(F.get(t, i - 2).alias("a"), m.alias("b")), F.struct(m.alias("a"), F.get(t, i + 1).alias("b")))
-                    new = F.transform(sides, lambda x: self.rank(x["a"], x["b"]))
+                    new = F.transform(sides, lambda x: self.rank(tables, x["a"], x["b"]))
                     around = F.slice(new, F.when(i > 1, 1).otherwise(2), F.when(i > 1, 1).otherwise(0) + F.when(i + 1 < F.size(t), 1).otherwise(0))
                     return F.struct(
                         F.concat(F.slice(t, F.lit(1), i - 1), F.array(m), F.slice(t, i + 2, F.size(t))).alias("t"),
