@@ -80,13 +80,13 @@ def occurrence_cutoff(index: DataFrame, share: float) -> int:
     return int(counts.agg(F.expr(f"percentile_disc({1 - share}) within group (order by n)")).first()[0] or 0) + 1
 
 
-def seed_join(queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
-    """(query_id, read_id, rev, query_pos, ref_pos): anchors on shared minimizers that occur fewer than `most` times."""
+def seed_join(queries: DataFrame, index: DataFrame, most: int, same_ids: bool = True) -> DataFrame:
+    """(query_id, read_id, rev, query_pos, ref_pos): anchors on shared minimizers that occur fewer than `most` times. same_ids: both sides name the same reads, and a read isn't joined with itself."""
     rare = index.groupBy("minimizer").agg(F.count("*").alias("n")).where(F.col("n") < most).select("minimizer")
     ref = index.join(rare, "minimizer", "left_semi").select("minimizer", F.col("read_id"), F.col("pos").alias("ref_pos"), F.col("strand").alias("ref_strand"))
     q = queries.select("minimizer", F.col("read_id").alias("query_id"), F.col("pos").alias("query_pos"), "strand")
-    met = q.join(ref, "minimizer").where("query_id <> read_id")
-    return met.select("query_id", "read_id", (F.col("strand") != F.col("ref_strand")).cast("int").alias("rev"), "query_pos", "ref_pos")
+    met = q.join(ref, "minimizer")
+    return (met.where("query_id <> read_id") if same_ids else met).select("query_id", "read_id", (F.col("strand") != F.col("ref_strand")).cast("int").alias("rev"), "query_pos", "ref_pos")
 
 
 def tandem_flags(index: DataFrame) -> DataFrame:
