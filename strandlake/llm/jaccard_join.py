@@ -7,7 +7,9 @@ Light sets (fewer than BOUNDARY shingles) enumerate their subsets of the sizes t
 overlap can have; partners share a subset. Heavy sets use inverted lists. Lists of single shingles
 would hold a third of all documents for a shingle of a common line, so a list's key is a group of
 shingles: sizes fall into classes c, c / t, ...; for the pairs whose smaller set is in a class, at
-most d shingles differ, so of d + 1 + SPARE groups (by hash) at least 1 + SPARE are equal. A document
+most d shingles differ, so of d + 1 + spare groups (by hash) at least 1 + spare are equal. spare is
+SPARE or, where groups are small, more than a set leaves empty but by rare chance: sets with more empty
+groups enter lists of empty groups, too, which tie long documents to one candidate group. A document
 enters the lists of its own class and of the one below, as the smaller and as the larger partner.
 The boundary is where the cost of enumerating subsets passes that of entering and scanning lists.
 
@@ -41,7 +43,7 @@ from strandlake.operators.components import connected_components
 from .common import discard, materialize
 
 NGRAM, PERCENT = 3, 90
-#: Groups of shingles that may be empty in a set without leaving its lists.
+#: Groups of shingles that may be empty in a set without leaving its lists, at least.
 SPARE = 2
 #: Nodes in a block of a candidate group.
 BLOCK = 400
@@ -98,7 +100,7 @@ class Scheme:
             n += 1
         self.boundary = n
         self.starts: list[int] = [n]
-        self.groups: dict[int, int] = {}
+        self.groups: dict[int, tuple[int, int]] = {}
 
     def _light_sizes(self, n: int) -> list[int]:
         """Sizes of the subsets that a set of n enumerates: overlaps with partners up to the boundary."""
@@ -112,22 +114,25 @@ class Scheme:
         groups = 2 * (differing(n, self.percent) + 1 + SPARE)
         return groups * (1 + SCAN / 2 ** max(0.0, 2 * n / groups - 1))
 
-    def classes(self, n: int) -> list[tuple[int, int]]:
-        """(start, groups) of the classes whose lists a heavy set of n enters."""
+    def classes(self, n: int) -> list[tuple[int, int, int]]:
+        """(start, groups, spare) of the classes whose lists a heavy set of n enters."""
         while self.starts[-1] <= n:
             self.starts.append(most_partner(self.starts[-1], self.percent) + 1)
         at = max(j for j, s in enumerate(self.starts) if s <= n)
         out = []
         for j in (at - 1, at):
             if j >= 0:
-                out.append((self.starts[j], self._groups(j)))
+                out.append((self.starts[j], *self._groups(j)))
         return out
 
-    def _groups(self, j: int) -> int:
-        """Groups of a class, worked out once: the most shingles that differ, 1, and SPARE."""
+    def _groups(self, j: int) -> tuple[int, int]:
+        """Groups of a class, worked out once: the most shingles that differ, 1, and the spare ones; and the spare ones."""
         if j not in self.groups:
             top = self.starts[j + 1] - 1
-            self.groups[j] = max(differing(a, self.percent) for a in range(max(self.starts[j], top - 40), top + 1)) + 1 + SPARE
+            least = max(differing(a, self.percent) for a in range(max(self.starts[j], top - 40), top + 1)) + 1
+            empty = lambda spare: (least + spare) * math.exp(-self.starts[j] / (least + spare))
+            spare = next((x for x in range(SPARE, least) if x >= empty(x) + 4 * math.sqrt(empty(x))), least)
+            self.groups[j] = least + spare, spare
         return self.groups[j]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
@@ -147,7 +152,7 @@ class Scheme:
                     gone = np.array([m[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), n - size)], np.uint64)
                     out.append(_mix((total - gone) ^ _C[3]) + np.uint64(size))
             if n >= self.boundary:
-                for start, groups in self.classes(n):
+                for start, groups, spare in self.classes(n):
                     g = (_mix(s ^ _C[1]) % np.uint64(groups)).astype(np.int64)
                     held = np.bincount(g, minlength=groups)
                     order = np.argsort(g, kind="stable")
@@ -155,8 +160,8 @@ class Scheme:
                     full = np.flatnonzero(held)
                     at = np.concatenate([[0], np.cumsum(held[full])[:-1]])
                     sums[full] = np.add.reduceat(_mix(s ^ _C[2])[order], at)
-                    # beyond SPARE empty groups, a set also enters the lists of empty groups
-                    use = full if groups - len(full) <= SPARE else np.arange(groups)
+                    # beyond spare empty groups, a set also enters the lists of empty groups
+                    use = full if groups - len(full) <= spare else np.arange(groups)
                     out.append(_mix(sums[use] + use.astype(np.uint64) * _C[0] + np.uint64(start) * _C[3]))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -306,7 +311,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     return keyed.select("doc_id", "n_shingles", "node").join(shared, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, ngram: int = 5, percent: int = 90) -> DataFrame:
+def one_of_each(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component, one row a doc_id; null doc_ids stay."""
     own = docs.columns
     kept = jaccard_components(docs, ngram, percent).where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()

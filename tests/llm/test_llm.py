@@ -226,6 +226,32 @@ def test_jaccard_keys_meet_for_every_linked_pair():
                         assert len(np.intersect1d(scheme.keys(a), scheme.keys(b))), (n, cut, add)
 
 
+def test_jaccard_keys_of_long_sets_at_80():
+    r = random.Random(8)
+    scheme = jaccard_join.Scheme(80)
+    some = lambda n: np.unique(np.array([r.getrandbits(63) for _ in range(n)], np.uint64))
+    # unrelated long sets have no list in common, linked ones have
+    keys = [scheme.keys(some(n)) for n in [100, 250, 400, 900] * 12]
+    assert len(np.unique(np.concatenate(keys))) == sum(map(len, keys))
+    for n in (15, 40, 100, 250, 400, 900):
+        for _ in range(6):
+            a = some(n)
+            for cut, add in ((0, n // 4), (n // 5, 0), (n // 9, n // 9)):
+                b = np.union1d(np.array(r.sample(a.tolist(), n - cut), np.uint64), some(add))
+                assert len(np.intersect1d(scheme.keys(a), scheme.keys(b))), (n, cut, add)
+
+
+def test_pipeline_links_near_copies_at_80(spark):
+    import corpus_pipeline
+
+    words = prose(100, 4).split()
+    changed = [f"new{j}" if j in (30, 60) else w for j, w in enumerate(words)]
+    a, b = (set(jaccard_join.shingles(" ".join(x), 5).tolist()) for x in (words, changed))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.9
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, prose(100, 5))]
+    assert sorted(x.doc_id for x in corpus_pipeline.near_copies(spark, table(spark, rows), "").collect()) == [1, 3]
+
+
 def test_one_of_each(spark, odd):
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns
