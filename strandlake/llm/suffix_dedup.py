@@ -13,6 +13,10 @@
    they add up to MIN_WORDS, that span is repeated in both. A suffix is compared with up to NEIGHBOURS
    before it, fewer when a neighbour already matches as far as its window reaches. Neighbours across
    the border of two partitions are compared in a last step that sees NEIGHBOURS rows a partition side.
+5. Suffixes that agree over KGRAM words are a run. In a run of more than NEIGHBOURS + 1, each window of
+   MIN_WORDS words around the retained position gets its least (doc_id, text, place) by an aggregate:
+   all others repeat it later. For the first and last run of a partition, which can go on in the
+   next ones, each window's least place is also compared with those of other partitions, by its hash.
 
 A window of MIN_WORDS to the right and MIN_WORDS - KGRAM to the left of a position is enough: the
 positions within a passage lie closer than that, so their spans join to the whole passage.
@@ -20,10 +24,9 @@ positions within a passage lie closer than that, so their spans join to the whol
 `spans` are all repeated words; `drops` those that a document with a smaller doc_id, or an earlier
 place of the same document, also has: without them one copy of each passage stays.
 
-Exactness: a passage of MIN_WORDS + KGRAM or more words is always found from its first retained
-suffix, as a sorted neighbour matches at least as far to the right as any other text does. A shorter
-one can be missed only where more than NEIGHBOURS other suffixes that agree over the same words, and
-differ to the left, sort between its copies.
+Exactness: any MIN_WORDS words hold a retained position, so `spans` and `drops` are all windows of
+MIN_WORDS words that occur elsewhere, and earlier, in another document or place, whatever the number
+of copies. Suffixes whose words begin with control characters below 9 can part a run and lose that.
 
 Edge cases: null and empty texts, and texts under MIN_WORDS words, have no spans. Rows with the same
 doc_id and text are one. A null doc_id sorts before others. Empty tables give empty results.
@@ -39,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -152,30 +155,86 @@ def _matches(row: _Row, earlier: deque[_Row], out: list[tuple]) -> None:
                 return
 
 
-_FOUND = "text_id bigint, start int, end int, other bigint, late boolean, edge int, side int, nth int, suffix string, before string, doc_id bigint, pos int"
+_FOUND = "text_id bigint, start int, end int, other bigint, late boolean, edge int, side int, nth int, suffix string, before string, doc_id bigint, pos int, window bigint"
 
 
 def _found(spans: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
     names = [x.split()[0] for x in _FOUND.split(", ")]
-    rows = [(*s, None, None, None, None, None, None, None) for s in spans] + edges
+    rows = [(*s, *[None] * 8) for s in spans] + edges
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
 
+class _Run:
+    """Sorted rows that agree over KGRAM words. Of rows with the same words on both sides only the least is held."""
+
+    def __init__(self, key: list[str]):
+        self.key, self.size = key, 0
+        self.least: dict[tuple[str, str], _Row] = {}
+
+    def add(self, row: _Row, out: list[tuple]) -> None:
+        self.size += 1
+        words = row.raw_suffix, row.raw_before
+        held = self.least.setdefault(words, row)
+        if held is row or (held.text == row.text and held.pos == row.pos):
+            return
+        if row.order() < held.order():
+            self.least[words], row, held = row, held, row
+        if len(row.before) + len(row.suffix) >= MIN_WORDS:
+            for x, late in ((row, True), (held, False)):
+                out.append((x.text, x.pos - len(x.before), x.pos + len(x.suffix), None, late))
+
+    def close(self, out: list[tuple], border: bool) -> list[tuple]:
+        """Spans go to out; at a border, the least place of each window is returned."""
+        if self.size <= NEIGHBOURS + 1 and not border:
+            return []
+        least: dict[int, tuple[_Row, int]] = {}
+        reach: dict[tuple[int, bool], tuple[_Row, int, int]] = {}
+
+        def repeated(row: _Row, left: int, late: bool) -> None:
+            # windows of a row all hold its position: together they are one span
+            _, a, b = reach.get((id(row), late), (row, 0, 0))
+            reach[id(row), late] = row, max(a, left), max(b, MIN_WORDS - left)
+
+        for row in self.least.values():
+            words, at = row.before[::-1] + row.suffix, len(row.before)
+            for left in range(max(0, MIN_WORDS - len(row.suffix)), at + 1):
+                h = xxhash.xxh3_64_intdigest(" ".join(words[at - left : at - left + MIN_WORDS]), left)
+                held, _ = least.setdefault(h, (row, left))
+                if held is not row:
+                    first, last = (row, held) if row.order() < held.order() else (held, row)
+                    least[h] = first, left
+                    repeated(first, left, False)
+                    repeated(last, left, True)
+        out.extend((x.text, x.pos - left, x.pos + right, None, late) for (_, late), (x, left, right) in reach.items())
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        return [(x.text, x.pos - left, x.pos - left + MIN_WORDS, *[None] * 7, x.doc, x.pos, signed(h)) for h, (x, left) in least.items()] if border else []
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over one sorted partition: spans, and the rows at its two ends."""
+    """Over one sorted partition: spans, the rows at its two ends, and the windows of its first and last run."""
     part, earlier, first = TaskContext.get().partitionId(), deque(maxlen=NEIGHBOURS), []
-    edge = lambda side, n, r: (r.text, None, None, None, None, part, side, n, r.raw_suffix, r.raw_before, r.doc, r.pos)
+    edge = lambda side, n, r: (r.text, None, None, None, None, part, side, n, r.raw_suffix, r.raw_before, r.doc, r.pos, None)
+    run, border, windows = None, True, []
     for batch in batches:
         spans: list[tuple] = []
         for values in zip(*[batch.column(c).to_pylist() for c in ("suffix", "before", "doc_id", "text_id", "pos")], strict=True):
             row = _Row(*values)
+            if run is None or row.suffix[:KGRAM] != run.key:
+                if run is not None:
+                    windows += run.close(spans, border)
+                    border = False
+                run = _Run(row.suffix[:KGRAM])
+            run.add(row, spans)
             _matches(row, earlier, spans)
             earlier.append(row)
             if len(first) < NEIGHBOURS:
                 first.append(row)
         yield _found(spans, [])
-    yield _found([], [edge(0, n, r) for n, r in enumerate(first)] + [edge(1, n, r) for n, r in enumerate(earlier)])
+    spans = []
+    if run is not None:
+        windows += run.close(spans, True)
+    yield _found(spans, windows + [edge(0, n, r) for n, r in enumerate(first)] + [edge(1, n, r) for n, r in enumerate(earlier)])
 
 
 def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +297,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     compared = materialize(array.mapInArrow(_neighbours, _FOUND), "neighbours")
     discard(suffixes)
     ends = compared.where("edge is not null").repartition(1).sortWithinPartitions("edge", "side", "nth")
-    spans = compared.where("edge is null").unionByName(ends.mapInArrow(_borders, _FOUND))
+    # the least place of a window in each partition, where runs can go on in others
+    same, place = Window.partitionBy("window"), F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text_id", "pos")
+    windows = compared.where("window is not null").withColumn("place", place).withColumn("least", F.min("place").over(same)).withColumn("most", F.max("place").over(same))
+    beyond = windows.where("least <> most").select("text_id", "start", "end", F.lit(None).cast("bigint").alias("other"), (F.col("place") > F.col("least")).alias("late"))
+    columns = ["text_id", "start", "end", "other", "late"]
+    spans = compared.where("edge is null and window is null").select(columns).unionByName(ends.mapInArrow(_borders, _FOUND).select(columns)).unionByName(beyond)
 
     pair = F.struct("start", "end")
     by_text = spans.groupBy("text_id").agg(

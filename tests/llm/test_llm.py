@@ -293,6 +293,38 @@ def test_without_repeats_keeps_one_copy(spark):
     assert 4 not in out and out[5].text is None and out[2].n_chars == len(out[2].text)
 
 
+def test_suffix_drops_of_many_copies_against_all_windows(spark):
+    r = random.Random(6)
+    long, short = prose(70, 31).split(), prose(50, 32).split()
+    rows = []
+    for i in r.sample(range(10_000), 500):
+        words = prose(r.randrange(4, 40), 40_000 + i).split()
+        at = r.randrange(len(words))
+        # whole passages, passages cut at either end, and passages that go on alike in some documents only
+        a, b = r.choice([(0, 70), (0, 70), (r.randrange(20), 70), (0, 70 - r.randrange(20))])
+        words[at:at] = [*long[a:b], *prose(r.randrange(0, 30), 90 + i % 7).split()]
+        if i % 3 == 0:
+            words += [*prose(5, 50_000 + i).split(), *short]
+        rows.append((i, " ".join(words)))
+    seen = defaultdict(list)
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 49):
+            seen[tuple(w[p : p + 50])].append((i, p))
+    spans, drops = defaultdict(set), defaultdict(set)
+    for places in seen.values():
+        for i, p in places if len(places) > 1 else ():
+            spans[i].update(range(p, p + 50))
+            drops[i].update(range(p, p + 50) if (i, p) > min(places) else ())
+    got = {x.doc_id: x for x in suffix_dedup.repeated_passages(table(spark, rows)).collect()}
+    cover = lambda found: {y for s in found for y in range(s["start"], s["end"])}
+    for i, _ in rows:
+        assert cover(got[i].spans if i in got else ()) == spans[i], i
+        assert cover(got[i].drops if i in got else ()) == drops[i], i
+    left = [x.text for x in suffix_dedup.without_repeats(table(spark, rows)).collect()]
+    assert sum(" ".join(long) in t for t in left) == 1 and sum(" ".join(short) in t for t in left) == 1
+
+
 def test_language_id_on_held_out_texts(spark):
     kinds = {"xx": "ba be bi bo bu".split(), "yy": "kra kre kri kro kru".split()}
     r = random.Random(2)
