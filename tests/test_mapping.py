@@ -104,6 +104,16 @@ def test_map_reads_finds_places_on_both_strands(spark):
             assert sum(n for n, op in P.parse(f[5]) if op in "MIS") == len(f[9])
 
 
+def test_query_maps_reads_of_large_copy_groups(spark):
+    from strandlake.plans.mapping_queries import MAPPING
+
+    r = random.Random(12)
+    own = dna(r, 300)
+    rows = spark.createDataFrame([(i, own) for i in range(60)], "read_id bigint, seq string")
+    hits = mapping.map_reads(rows.where("read_id = 0"), rows, MAPPING, same_ids=True)
+    assert hits.count() > 0
+
+
 def test_parents(spark):
     found = spark.createDataFrame([(1, 10, 0, 100, 20, 0, 90, 0, 90), (1, 11, 0, 60, 9, 5, 80, 0, 75), (1, 12, 1, 50, 9, 0, 100, 0, 100)], "query_id bigint, read_id bigint, rev int, score int, anchors int, q_st int, q_en int, r_st int, r_en int")
     sizes = spark.createDataFrame([(1, "A" * 200)], "read_id bigint, seq string")
