@@ -190,7 +190,7 @@ def _keyed(ngram: int, percent: int):
                 keys.append(_signed(k))
                 ends.append(ends[-1] + len(k))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "n_shingles", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "text_id", "n_shingles", "node", "keys"])
 
     return run
 
@@ -258,8 +258,8 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = materialize(own.mapInArrow(_keyed(ngram, percent), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>"), "shingle-keys")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
+    keyed = materialize(own.mapInArrow(_keyed(ngram, percent), "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>"), "shingle-keys")
 
     # one row a node; copies meet in the partial aggregate
     nodes = keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
@@ -276,8 +276,10 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     # the candidates' sets, made again from their texts, so that no set is stored for documents without any partner
     sized = candidates.groupBy("component").agg(F.count("*").alias("size"))
     grouped = candidates.join(sized, "component").select("node", F.col("component").alias("grp"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    reps = keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).join(grouped, "node")
-    texts = own.join(reps.select(F.col("rep").alias("doc_id"), "node", "grp", "blocks"), "doc_id")
+    # a node's row is known by doc_id and text: a null doc_id has rows, too, and one doc_id can have several texts
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id")).alias("rep")
+    reps = keyed.where("node is not null").groupBy("node").agg(rep).join(grouped, "node").select(F.col("rep.doc_id").alias("own_id"), F.col("rep.text_id").alias("own_text"), "node", "grp", "blocks")
+    texts = own.join(reps, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_id") == F.col("own_text")))
     sets = materialize(texts.mapInArrow(_sets(ngram), "grp bigint, node bigint, blocks int, shingles binary"), "shingle-sets")
     sets = sets.withColumn("at", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
 

@@ -252,6 +252,15 @@ def test_pipeline_links_near_copies_at_80(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.near_copies(spark, table(spark, rows), "").collect()) == [1, 3]
 
 
+def test_jaccard_links_of_null_ids_and_of_two_texts_under_one_id(spark):
+    a, x, y = ([f"{c}{j}" for j in range(300)] for c in "axy")
+    # 1 and 2 link through a row without an id only
+    rows = [(1, " ".join(a[:200])), (None, " ".join(a[:215])), (2, " ".join(a[:230]))]
+    rows += [(7, " ".join(x[:200])), (7, " ".join(y[:200])), (8, " ".join(x[:210])), (9, " ".join(y[:210]))]
+    got = jaccard_join.jaccard_components(table(spark, rows)).collect()
+    assert sorted((z.doc_id or 0, z.component_id) for z in got) == [(0, 1), (1, 1), (2, 1), (7, 7), (7, 7), (8, 7), (9, 7)]
+
+
 def test_one_of_each(spark, odd):
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns
