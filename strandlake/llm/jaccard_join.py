@@ -13,6 +13,13 @@ groups enter lists of empty groups, too, which tie long documents to one candida
 enters the lists of its own class and of the one below, as the smaller and as the larger partner.
 The boundary is where the cost of enumerating subsets passes that of entering and scanning lists.
 
+A linked pair is equal in 1 + spare groups, so a node has at least so many keys of a class (fewer by
+the empty groups it doesn't enter) that other nodes have, too: a node with fewer leaves that class's
+lists before any pair is made. Unrelated documents with lines in common share a few keys and leave here.
+Keys that a sample of nodes shows in more than HOT of all nodes are set aside: their least members come
+from partial aggregates, and other keys' lists are short enough for one task each. The sample decides
+only which way a key goes; either way gives the same rows.
+
 Lists give stars (member, least member), whose components are the candidate groups: every link lies
 within one. Before these are worked out, each node keeps one pair and its other least members are linked
 to the same one. Groups are cut into blocks by hash. Round 1 compares within blocks, round 2 all nodes
@@ -45,6 +52,8 @@ from .common import discard, materialize
 NGRAM, PERCENT = 3, 90
 #: Groups of shingles that may be empty in a set without leaving its lists, at least.
 SPARE = 2
+#: A key in more than this share of the nodes (and SEEN of the sample) is hot; one node in SAMPLE is in the sample.
+HOT, SEEN, SAMPLE = 0.001, 20, 64
 #: Nodes in a block of a candidate group.
 BLOCK = 400
 #: In the cost of lists: what scanning a list costs, before it halves with each shingle in its key.
@@ -135,10 +144,10 @@ class Scheme:
             self.groups[j] = least + spare, spare
         return self.groups[j]
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of a sorted set: linked sets that differ share at least one."""
+    def parts(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(need, keys) of a sorted set: linked sets that differ share at least need keys of some part, by the need of either."""
         n = len(s)
-        out: list[np.ndarray] = []
+        out: list[tuple[int, np.ndarray]] = []
         with np.errstate(over="ignore"):
             if n and -(-self.percent * n // 100) < self.boundary:
                 # overlaps with a partner below the boundary, or with any partner if this set is
@@ -150,7 +159,7 @@ class Scheme:
                         continue
                     total = m.sum(dtype=np.uint64)
                     gone = np.array([m[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), n - size)], np.uint64)
-                    out.append(_mix((total - gone) ^ _C[3]) + np.uint64(size))
+                    out.append((1, np.unique(_mix((total - gone) ^ _C[3]) + np.uint64(size))))
             if n >= self.boundary:
                 for start, groups, spare in self.classes(n):
                     g = (_mix(s ^ _C[1]) % np.uint64(groups)).astype(np.int64)
@@ -161,9 +170,16 @@ class Scheme:
                     at = np.concatenate([[0], np.cumsum(held[full])[:-1]])
                     sums[full] = np.add.reduceat(_mix(s ^ _C[2])[order], at)
                     # beyond spare empty groups, a set also enters the lists of empty groups
-                    use = full if groups - len(full) <= spare else np.arange(groups)
-                    out.append(_mix(sums[use] + use.astype(np.uint64) * _C[0] + np.uint64(start) * _C[3]))
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+                    few = groups - len(full) <= spare
+                    use = full if few else np.arange(groups)
+                    # equal empty groups aren't entered by both, unless both have many
+                    need = 1 + spare - (groups - len(full)) if few else 1
+                    out.append((need, np.unique(_mix(sums[use] + use.astype(np.uint64) * _C[0] + np.uint64(start) * _C[3]))))
+        return out
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """All keys of a sorted set."""
+        return np.unique(np.concatenate([k for _, k in found])) if (found := self.parts(s)) else np.zeros(0, np.uint64)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -181,16 +197,20 @@ def _keyed(ngram: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
         for batch in batches:
-            sizes, nodes, keys, ends = [], [], [], [0]
+            sizes, nodes, keys, counts, needs = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, ngram)
-                k = scheme.keys(s)
+                parts = scheme.parts(s)
                 sizes.append(len(s))
                 nodes.append(_node(s))
-                keys.append(_signed(k))
-                ends.append(ends[-1] + len(k))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "text_id", "n_shingles", "node", "keys"])
+                keys.append([_signed(k) for _, k in parts])
+                counts.append([len(k) for _, k in parts])
+                needs.append([n for n, _ in parts])
+            ends = np.concatenate([[0], np.cumsum([sum(c) for c in counts])])
+            flat = [k for own in keys for k in own]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
+            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(counts, pa.list_(pa.int32())), pa.array(needs, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), *columns], ["doc_id", "text_id", "n_shingles", "node", "keys", "counts", "needs"])
 
     return run
 
@@ -254,23 +274,46 @@ def _compare(percent: int):
     return run
 
 
+def _shared(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """Entries whose key another node has, too, with the key's least node."""
+    lists = Window.partitionBy("key")
+    cold = entries.join(F.broadcast(hot), "key", "left_anti").withColumn("least", F.min("node").over(lists)).withColumn("most", F.max("node").over(lists))
+    often = entries.join(F.broadcast(hot), "key", "left_semi")
+    ends = often.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    # as many rows as there are hot keys
+    warm = often.join(F.broadcast(ends), "key")
+    return cold.unionByName(warm).where("least <> most").drop("most")
+
+
+def _stars(keyed: DataFrame) -> DataFrame:
+    """(node, least): the lists' members that can have a link, with their list's least one."""
+    # one row a node; copies meet in the partial aggregate
+    nodes = keyed.where("node is not null").groupBy("node").agg(F.min(F.struct("keys", "counts", "needs")).alias("x")).select("node", "x.*")
+    part = F.expr("explode(filter(transform(counts, (n, i) -> struct(i as part, needs[i] as need, slice(keys, cast(aggregate(slice(counts, 1, i), 0, (a, b) -> a + b) as int) + 1, n) as keys)), p -> size(p.keys) > 0))")
+    entries = nodes.select("node", part.alias("p")).select("node", "p.part", "p.need", F.explode("p.keys").alias("key"))
+    sample = entries.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SAMPLE)) == 0)
+    # at most (keys of a node) / HOT keys pass, however many nodes there are
+    seen = max(SEEN, HOT * sample.select("node").distinct().count())
+    hot = materialize(sample.groupBy("key").count().where(F.col("count") >= seen).select("key"), "hot-keys")
+    enough = F.count("*").over(Window.partitionBy("node", "part")) >= F.col("need")
+    alive = _shared(entries, hot).drop("least").withColumn("enough", enough).where("enough").drop("enough")
+    return _shared(materialize(alive, "alive"), hot).select("node", "least").where("node <> least")
+
+
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
-    keyed = materialize(own.mapInArrow(_keyed(ngram, percent), "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>"), "shingle-keys")
+    keyed = materialize(own.mapInArrow(_keyed(ngram, percent), "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>, counts array<int>, needs array<int>"), "shingle-keys")
 
-    # one row a node; copies meet in the partial aggregate
-    nodes = keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
-    lists = Window.partitionBy("key")
-    stars = nodes.select("node", F.explode("keys").alias("key")).withColumn("least", F.min("node").over(lists)).where("node <> least")
+    stars = _stars(keyed)
     # a node of several least members is linked to the first of them only, and the others are linked to it: most nodes of a large group share these pairs
     met = stars.withColumn("first", F.min("least").over(Window.partitionBy("node")))
     pairs = met.select(F.when(F.col("least") == F.col("first"), F.col("node")).otherwise(F.col("least")).alias("node"), "first").distinct()
     candidates = connected_components(pairs, "node", "first")
     # from here on no keys are needed
-    full, keyed = keyed, materialize(keyed.drop("keys"), "shingle-nodes")
+    full, keyed = keyed, materialize(keyed.drop("keys", "counts", "needs"), "shingle-nodes")
     discard(full)
 
     # the candidates' sets, made again from their texts, so that no set is stored for documents without any partner
