@@ -6,7 +6,8 @@ integers in dictionary or, where a dictionary doesn't pay, delta encoding; row g
 a fixed size, and page indexes (written by default) let a reader that asks for some doc_ids skip
 pages, and one that asks for metadata never touch the tokens.
 
-Encoding: the tokenizer drops white space and never merges over it, so each run of other characters
+Encoding: as the library encodes whole texts without adding special tokens; strings of special tokens
+within a text become those tokens, as it does by default. The tokenizer drops white space and never merges over it, so each run of other characters
 is encoded by the library once and remembered, in a store in each Python worker that is emptied when
 it passes REMEMBERED runs. New runs go to the library as one text, cut
 where the tokenizer cuts: an id that ends a word tells where a part stops.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ from .common import new_path
 END_ID = 2
 #: Runs remembered by a Python worker; documents in a batch; bytes of a row group and of a page.
 REMEMBERED, BATCH_ROWS, ROW_GROUP, PAGE = 600_000, 512, 32 << 20, 256 << 10
+#: New runs that go to the library as one text.
+TOGETHER = 500
 
 _SCHEMA = "doc_id bigint, n_tokens bigint, crc bigint, tokens array<int>"
 
@@ -48,7 +52,8 @@ class RunEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
+        # strings that the library takes out of a text before it cuts it: texts that hold one go to it whole
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         model = json.loads(self.tokenizer.to_str())["model"]
         suffix = model["end_of_word_suffix"]
         self.ends = np.zeros(max(model["vocab"].values()) + 3, bool)
@@ -67,17 +72,10 @@ class RunEncoder(dict):
     def _run(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > self.most:
-            self.clear()
-        # The library lower-cases each character alone; a capital sigma's lower case depends on its place here.
-        runs = [(t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
-        new: set[str] = set()
-        for r in runs:
-            new.update(r)
-        new.difference_update(self.keys() & new)
+    def learn(self, runs: list[str]) -> None:
+        """Puts new runs into the store."""
         whole, cut, parts = [], {}, set()
-        for r in new:
+        for r in runs:
             if r.isalpha() and r.isascii():
                 parts.add(r)
             elif r.isprintable() and _PLAIN(r):
@@ -85,18 +83,50 @@ class RunEncoder(dict):
                 parts.update(p)
             elif r:
                 whole.append(r)
-        todo = sorted(p for p in parts if p not in self)
-        for first in range(0, len(todo), 20_000):
-            some = todo[first : first + 20_000]
+        todo = [p for p in parts if p not in self]
+        for first in range(0, len(todo), TOGETHER):
+            some = todo[first : first + TOGETHER]
             self.update(zip(some, self._parts(some), strict=True))
         for r, p in cut.items():
             self[r] = b"".join(map(self.__getitem__, p))
         for r in whole:
             self[r] = self._run(r)
         self[""] = b""
-        return [b"".join(map(self.__getitem__, r)) for r in runs]
-
 
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit integers."""
+        if len(self) > self.most:
+            self.clear()
+        plain = [self._plain(t or "") for t in texts]
+        split = pa.compute.split_pattern(pa.array([p or "" for p in plain], pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.get, runs))
+        if new := [i for i, x in enumerate(known) if x is None]:
+            self.learn([runs[i] for i in new])
+            for i in new:
+                known[i] = self[runs[i]]
+        at = coded.indices.to_numpy()
+        raw = b"".join(map(known.__getitem__, at.tolist()))
+        ends = np.cumsum(np.fromiter(map(len, known), np.int64, len(known))[at])
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        return [self._run(t) if p is None else raw[a:b] for t, p, a, b in zip(texts, plain, cuts, cuts[1:], strict=False)]
+
+    def _plain(self, text: str) -> str | None:
+        """The text with a blank between its runs; None if it must go to the library whole."""
+        low = text.lower()
+        if any(x in low for x in self.special):
+            return None
+        if "\u03a3" in text:
+            # the library lower-cases each character alone; this letter's lower case depends on its place here
+            return text.replace("\n", " ")
+        low = low.replace("\n", " ")
+        # the library cuts between a letter or digit and a mark: apart, most runs are words seen before
+        return low if _AFTER_MARK(low) else low.replace(". ", " . ").replace(", ", " , ")
+
+
+#: A full stop or comma after another mark, which the library would keep together.
+_AFTER_MARK = re.compile(r"[.,](?<=(?:[^\w ]|_).)").search
 #: Runs of letters that normal form C leaves alone and ASCII marks without quotes or angle brackets: the library cuts them between letters and marks.
 _PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff!-&(-/:;=?@\[-`{-~]+").fullmatch
 _PARTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[!-&(-/:;=?@\[-`{-~]+").findall
