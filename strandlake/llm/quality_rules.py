@@ -3,8 +3,9 @@
 Each rule votes 1 (good), -1 (bad) or 0 (abstains). Expectation-maximisation over the counts of
 distinct vote patterns (at most 3 ** len(RULES), whatever the number of documents) estimates the
 share of good documents and each rule's accuracy (its chance of each vote from good and from bad
-documents); a document's posterior probability of being good
-replaces the usual all-rules-must-pass filter.
+documents, from Dirichlet priors of WEIGHT documents); a document's posterior probability of being
+good replaces the usual all-rules-must-pass filter. A rule that other rules don't bear out is found
+to be noise, and its lone bad vote rejects nothing.
 
 Plan: one scan computes the features of every row in its own row (no explode, no shuffle of text),
 writes them to the shared folder, and a partial aggregate shuffles only vote patterns.
@@ -25,17 +26,15 @@ from .common import let, materialize, resource_sum, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-ROUNDS = 25
+ROUNDS = 60
 #: The share of good documents before any is seen.
 PRIOR = 0.85
 #: Chances of the votes of a rule, where EM starts; they count as WEIGHT documents in each round.
-VOTES, WEIGHT = (-1, 0, 1), 10.0
-FROM_GOOD, FROM_BAD = (0.0005, 0.4995, 0.5), (0.3, 0.3, 0.4)
+VOTES, WEIGHT = (-1, 0, 1), 20.0
+FROM_GOOD, FROM_BAD = (0.01, 0.49, 0.5), (0.3, 0.35, 0.35)
 #: The same for the rules that only vote -1 or abstain.
 ONE_SIDED = ("repeats", "duplicate_lines", "symbols", "capitals", "shouting")
-ONE_FROM_GOOD, ONE_FROM_BAD = (0.0005, 0.9995, 0.0), (0.3, 0.7, 0.0)
-#: A bad vote is at least so much likelier from a bad document, a good vote never likelier from one.
-LEAST_RATIO = 300.0
+ONE_FROM_GOOD, ONE_FROM_BAD = (0.01, 0.99, 0.0), (0.3, 0.7, 0.0)
 KEEP_FROM = 0.5
 
 
@@ -69,6 +68,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
             _repeat_words(words).alias("n_repeat_words"),
             F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"),
+            F.regexp_count(t, F.lit(r"[\p{L}\p{N}][.,;:!?)\"']?(?=[\x20\x09-\x0D]|\z)")).cast("bigint").alias("n_ended"),
             F.regexp_count(joined, F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
             F.regexp_count(joined, F.lit(r"[!?]{2,}")).cast("bigint").alias("n_shouts"),
             let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup"))).alias("lines"),
@@ -94,10 +94,11 @@ def rules(f: Column) -> dict[str, Column]:
         "variety": _vote(100 * f["n_distinct"] < 15 * F.least(n, F.lit(1000)), 100 * f["n_distinct"] >= 30 * n),
         "capitals": _vote(100 * f["n_upper"] > 40 * chars, never),
         "shouting": _vote(100 * f["n_shouts"] > 20 * n, never),
+        "endings": _vote(100 * f["n_ended"] < 70 * n, 100 * f["n_ended"] >= 85 * n),
     }
 
 
-RULES = ("length", "repeats", "duplicate_lines", "symbols", "mean_word", "variety", "capitals", "shouting")
+RULES = ("length", "repeats", "duplicate_lines", "symbols", "mean_word", "variety", "capitals", "shouting", "endings")
 
 
 def _posterior(votes: Column, p: Column) -> Column:
@@ -109,6 +110,11 @@ def _posterior(votes: Column, p: Column) -> Column:
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
 
 
+def chances(p: list[float]) -> dict[str, tuple[list[float], list[float]]]:
+    """What estimate() found, by rule: chances of the votes -1, 0, 1 from good and from bad documents; each three add up to 1."""
+    return {name: (p[1 + 6 * j : 4 + 6 * j], p[4 + 6 * j : 7 + 6 * j]) for j, name in enumerate(RULES)}
+
+
 def estimate(voted: DataFrame, rounds: int = ROUNDS) -> list[float]:
     """Prior and vote chances by EM over the vote patterns: one row, one expression."""
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("c"))
@@ -127,8 +133,6 @@ def estimate(voted: DataFrame, rounds: int = ROUNDS) -> list[float]:
                 seen = lambda v, of, j=j: total(rows, lambda r: F.when(F.get(r["votes"], F.lit(j)) == v, of(r)).otherwise(zero))
                 chances = [(seen(v, lambda r: r["c"] * r["q"]) + WEIGHT * x) / (good + WEIGHT) for v, x in zip(VOTES, from_good, strict=True)]
                 chances += [(seen(v, lambda r: r["c"] * (1 - r["q"])) + WEIGHT * x) / (every - good + WEIGHT) for v, x in zip(VOTES, from_bad, strict=True)]
-                chances[3] = F.greatest(chances[3], LEAST_RATIO * chances[0])
-                chances[5] = F.least(chances[5], chances[2])
                 new += chances
             return F.array(*new)
 
