@@ -7,22 +7,26 @@ of 64-bit n-gram hashes with the probability mass of the n-gram and, for each co
 the next shorter order; a probability is read by binary search. The language of a text has the lowest
 cross-entropy a character.
 
-Rejection: on the training words of each language the mean and spread of documents' cross-entropies
-are kept; a text whose cross-entropy with its best language lies more than REJECT spreads above that
-language's mean is marked `rejected`. Its prediction stays the best language.
-
-Models are fitted on a bounded sample of labelled rows, at most SAMPLE_DOCS of each language of at
-most MAX_LANGUAGES, in the order of a hash (for each language a top-k with map-side limits, no window
-over all rows). They are a few MB, so broadcasting them doesn't depend on the data.
-
-Edge cases: a text that is null or has no letter is `und` with score 0. With no labelled row, every
+Rejection: every fifth sample text of a language is kept out of its model. Of the cross-entropies of
+those, the quantile 1 - REJECT_RATE and their spread give the language's limit, MARGIN spreads above
+the quantile: a text whose cross-entropy with its best language passes it is marked `rejected`. Its
+prediction stays the best language, at half the score.
+
+Models are fitted on a bounded sample of labelled rows, SAMPLE_DOCS of each language, in the order of
+a hash; whole texts, however long. A language's sample meets in one task, which fits its model; texts
+never reach the driver, which sees a count and a model of a few MB for each language. What is
+broadcast grows with the number of languages, not with the rows.
+
+Edge cases: a letter is a character of a Unicode category L; numerals such as one half or superscripts
+are none. A text that is null or has no letter is `und` with score 0. With no labelled row, every
 text is `und`. Ties go to the language first in order. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 5
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 400, 200_000, 200
-REJECT = 6.0
+SAMPLE_DOCS = 400
+REJECT_RATE, MARGIN = 0.01, 3.0
 REMEMBERED = 600_000
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: What \w takes besides letters, decimal digits and the underscore: numerals of other kinds.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl"))
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +96,7 @@ class Model:
             back = np.array([discount * kinds[c] / total[c] for c in contexts])
             self.tables.append((*self._sorted(keys, mass, k), *self._sorted(contexts, back, k - 1)))
         self.floor = 1.0 / max(len(grams[1]) + 1, 256)
-        self.mean, self.spread = 0.0, 1.0
+        self.limit = -np.log2(self.floor)
 
     @staticmethod
     def _sorted(keys: list[str], values: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,46 +187,50 @@ class Identifier:
         best = int(np.argmin(bits))
         # posterior of the best language, from bits of at most 64 characters: longer texts add no certainty
         score = float(1 / np.exp2(-(bits - bits[best]) * min(sums[0], 64.0)).sum())
-        model = self.models[best]
-        return self.names[best], score, float(bits[best]), bool(bits[best] > model.mean + REJECT * model.spread)
+        rejected = bool(bits[best] > self.models[best].limit)
+        return self.names[best], score / 2 if rejected else score, float(bits[best]), rejected
+
+
+def fit(texts: list[str], order: int = ORDER) -> Model | None:
+    """The model of one language, its limit from the texts kept out of it; None without a letter."""
+    words = [_WORD.findall(t.lower()) for t in texts]
+    own = Counter(w for j, found in enumerate(words) if len(texts) < 10 or j % 5 != 4 for w in found)
+    if not own:
+        return None
+    model = Model(own, order)
+    sums = [s for s in Identifier({"": model}).sums([t for j, t in enumerate(texts) if j % 5 == 4]) if s is not None and s[0] >= 40]
+    if len(sums) >= 2:
+        bits = np.array([s[1] / s[0] for s in sums])
+        model.limit = float(np.quantile(bits, 1 - REJECT_RATE) + MARGIN * max(bits.std(), 0.05))
+    return model
 
 
 def train(rows: list[tuple[str, str]], order: int = ORDER) -> Identifier:
-    """rows: (language, text). Every fifth text of a language calibrates its rejection."""
-    words: dict[str, Counter] = {}
-    held: dict[str, list[str]] = {}
-    seen: Counter = Counter()
+    """rows: (language, text)."""
+    texts: dict[str, list[str]] = {}
     for lang, text in rows:
-        seen[lang] += 1
-        found = _WORD.findall(text.lower())
-        words.setdefault(lang, Counter()).update(found)
-        if seen[lang] % 5 == 0:
-            held.setdefault(lang, []).append(text)
-    models = {lang: Model(c, order) for lang, c in words.items() if c}
-    out = Identifier(models)
-    for j, lang in enumerate(out.names):
-        bits = [x[j + 1] / x[0] for x in out.sums(held.get(lang, [])) if x is not None and x[0] >= 40]
-        if bits:
-            out.models[j].mean, out.models[j].spread = float(np.mean(bits)), float(max(np.std(bits), 0.05))
-        else:
-            out.models[j].mean, out.models[j].spread = math.log2(1 / out.models[j].floor), 1.0
-    return out
-
-
-def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCS labelled texts, each of at most SAMPLE_BYTES, of each of the MAX_LANGUAGES commonest languages, with crc32(doc_id) mod 4 not 2."""
+        texts.setdefault(lang, []).append(text)
+    return Identifier({lang: m for lang, t in texts.items() if (m := fit(t, order)) is not None})
+
+
+def models_of(docs: DataFrame) -> Identifier:
+    """Models from SAMPLE_DOCS labelled texts of each language, with crc32(doc_id) mod 4 not 2."""
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(~_held_out())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
     if not counts:
-        return []
-    # one more pass: each language at the rate that gives somewhat more than its share, cut here in the hash's order
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.3 * SAMPLE_DOCS + 40) / r["count"]))])
+        return Identifier({})
+    # each language at the rate that gives somewhat more than its share, cut in its task in the hash's order
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 40))
-    drawn = labelled.where(order < F.element_at(rate, F.col("lang")) * float(1 << 40)).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows: dict[str, list] = {}
-    for r in drawn.select("lang", "text", order.alias("o"), "doc_id").collect():
-        rows.setdefault(r["lang"], []).append((r["o"], r["doc_id"], r["text"]))
-    return [(lang, text) for lang in sorted(rows) for _, _, text in sorted(rows[lang])[:SAMPLE_DOCS]]
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.3 * SAMPLE_DOCS + 40) / r["count"]) * float(1 << 40)) for r in counts], "lang string, below double")
+    drawn = labelled.select("lang", "text", "doc_id", order.alias("o")).join(F.broadcast(rates), "lang").where("o < below").select("lang", "text", "doc_id", "o")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*[table.column(c).to_pylist() for c in ("o", "doc_id", "text")], strict=True))[:SAMPLE_DOCS]
+        model = fit([t for _, _, t in rows])
+        return pa.table({"lang": table.column("lang")[:1].cast(pa.string()), "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = drawn.groupBy("lang").applyInArrow(run, "lang string, model binary").collect()
+    return Identifier({r["lang"]: m for r in found if (m := pickle.loads(r["model"])) is not None})
 
 
 def _held_out():
@@ -230,7 +240,7 @@ def _held_out():
 def language_id(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score, bits (a character), rejected."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(sample(docs)))
+    model = spark.sparkContext.broadcast(models_of(docs.withColumn("lang", F.col("lang").cast("string")).select("doc_id", "text", "lang")))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
