@@ -29,7 +29,9 @@ MIN_WORDS words that occur elsewhere, and earlier, in another document or place,
 of copies. Suffixes whose words begin with control characters below 9 can part a run and lose that.
 
 Edge cases: null and empty texts, and texts under MIN_WORDS words, have no spans. Rows with the same
-doc_id and text are one. A null doc_id sorts before others. Empty tables give empty results.
+doc_id and text are one document; rows with the same doc_id and different texts are several. Rows
+without a doc_id are documents of their own and sort before others: of copies, one of them stays.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ from .common import discard, materialize
 
 MIN_WORDS, KGRAM, WINDOW, NEIGHBOURS = 50, 24, 25, 8
 
+#: Stands for a null doc_id where rows are put in order.
+_FIRST = -(1 << 63)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -88,10 +92,10 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(h)
             positions.append(at)
             counts.append(len(at))
-        own = np.repeat(np.asarray(batch.column("text_id")), counts)
+        own = batch.column("text_id").take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
         key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
         pos = np.concatenate(positions).astype(np.int32) if positions else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own, pa.int64()), pa.array(pos)], ["key", "text_id", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), own, pa.array(pos)], ["key", "text_id", "pos"])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +118,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(out: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
 
@@ -130,12 +134,12 @@ def _common(a: list[str], b: list[str]) -> int:
 class _Row:
     __slots__ = ("before", "doc", "pos", "raw_before", "raw_suffix", "suffix", "text")
 
-    def __init__(self, suffix: str, before: str, doc: int | None, text: int, pos: int):
+    def __init__(self, suffix: str, before: str, doc: int | None, text: bytes, pos: int):
         self.raw_suffix, self.raw_before, self.doc, self.text, self.pos = suffix, before, doc, text, pos
         self.suffix, self.before = suffix.split(" "), before.split(" ")[::-1] if before else []
 
     def order(self) -> tuple:
-        return (-1 if self.doc is None else self.doc, self.text, self.pos)
+        return (_FIRST if self.doc is None else self.doc, self.text, self.pos)
 
 
 def _matches(row: _Row, earlier: deque[_Row], out: list[tuple]) -> None:
@@ -155,11 +159,11 @@ def _matches(row: _Row, earlier: deque[_Row], out: list[tuple]) -> None:
                 return
 
 
-_FOUND = "text_id bigint, start int, end int, other bigint, late boolean, edge int, side int, nth int, suffix string, before string, doc_id bigint, pos int, window bigint"
+_FOUND = "text_id binary, start int, end int, other bigint, late boolean, edge int, side int, nth int, suffix string, before string, doc_id bigint, pos int, window bigint"
 
 
 def _found(spans: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
     names = [x.split()[0] for x in _FOUND.split(", ")]
     rows = [(*s, *[None] * 8) for s in spans] + edges
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
@@ -220,6 +224,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans: list[tuple] = []
         for values in zip(*[batch.column(c).to_pylist() for c in ("suffix", "before", "doc_id", "text_id", "pos")], strict=True):
             row = _Row(*values)
+            if earlier and earlier[-1].text == row.text and earlier[-1].pos == row.pos:
+                continue  # a row of the same doc_id and text
             if run is None or row.suffix[:KGRAM] != run.key:
                 if run is not None:
                     windows += run.close(spans, border)
@@ -272,24 +278,38 @@ def _length(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
 
 
+def _text_id() -> Column:
+    """128 bits for a text: two texts of a corpus aren't taken for one."""
+    return F.unhex(F.md5("text"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text) with a repeated passage: doc_id, n_words, repeated_words, dropped_words, spans, drops, partners (doc_ids of neighbours, at most NEIGHBOURS * 2)."""
+    """One row for each row of docs (doc_id, text) with a repeated passage: doc_id, n_words, repeated_words, dropped_words, spans, drops, partners (doc_ids of some neighbours in the array, at most NEIGHBOURS * 2, for a look at a case: spans and drops don't follow from them)."""
+    return _repeats(docs).drop("text_id", "nth")
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
+    """The same, with text_id, and nth: the number of a row without a doc_id among those of its text, else 1."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    own = own.withColumn("text_id", F.xxhash64("text"))
+    own = own.withColumn("text_id", _text_id())
     n_words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     light = materialize(own.select("doc_id", "text_id", n_words.alias("n_words")).where(F.col("n_words") >= MIN_WORDS), "texts")
-    texts = light.groupBy("text_id").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    # rows of one doc_id and text are one document; rows without a doc_id are documents of their own and come first
+    nulls = F.count_if(F.col("doc_id").isNull())
+    several = (nulls > 1) | ((nulls == 1) & (F.count("doc_id") > 0)) | (F.min("doc_id") < F.max("doc_id"))
+    texts = light.groupBy("text_id").agg(F.min("doc_id").alias("least"), nulls.alias("nulls"), several.alias("copied"))
+    texts = texts.select("text_id", F.when(F.col("nulls") == 0, F.col("least")).alias("rep"), "nulls", "copied")
 
-    places = own.select("text_id", "text").mapInArrow(_positions, "key bigint, text_id bigint, pos int")
+    places = own.select("text_id", "text").mapInArrow(_positions, "key bigint, text_id binary, pos int")
     # one shuffle by key: its rows stay only where another text or place has the key
     places = materialize(places, "places")
     often = places.groupBy("key").agg(F.min(F.struct("text_id", "pos")).alias("a"), F.max(F.struct("text_id", "pos")).alias("b")).where("a <> b").select("key")
     shared = places.join(often, "key", "left_semi").groupBy("text_id").agg(F.collect_set("pos").alias("positions"))
     wanted = shared.join(texts.select("text_id", "rep"), "text_id").select(F.col("text_id").alias("want"), "positions", "rep")
     found = own.join(wanted, (F.col("doc_id").eqNullSafe(F.col("rep"))) & (F.col("text_id") == F.col("want"))).select("text", "doc_id", "text_id", "positions")
-    suffixes = materialize(found.mapInArrow(_suffixes, "suffix string, before string, doc_id bigint, text_id bigint, pos int"), "suffixes")
+    suffixes = materialize(found.mapInArrow(_suffixes, "suffix string, before string, doc_id bigint, text_id binary, pos int"), "suffixes")
     discard(places)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -298,7 +318,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     discard(suffixes)
     ends = compared.where("edge is not null").repartition(1).sortWithinPartitions("edge", "side", "nth")
     # the least place of a window in each partition, where runs can go on in others
-    same, place = Window.partitionBy("window"), F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text_id", "pos")
+    same, place = Window.partitionBy("window"), F.struct(F.coalesce("doc_id", F.lit(_FIRST).cast("bigint")).alias("doc"), "text_id", "pos")
     windows = compared.where("window is not null").withColumn("place", place).withColumn("least", F.min("place").over(same)).withColumn("most", F.max("place").over(same))
     beyond = windows.where("least <> most").select("text_id", "start", "end", F.lit(None).cast("bigint").alias("other"), (F.col("place") > F.col("least")).alias("late"))
     columns = ["text_id", "start", "end", "other", "late"]
@@ -310,21 +330,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         _merged(F.collect_set(F.when(F.col("late"), pair))).alias("drops"),
         F.array_sort(F.slice(F.array_sort(F.collect_set("other")), 1, 2 * NEIGHBOURS)).alias("partners"),
     )
-    both = texts.join(by_text, "text_id", "left").where("copies > 1 or spans is not null")
+    both = texts.join(by_text, "text_id", "left").where("copied or spans is not null")
     none = F.array().cast("array<struct<start:int,end:int>>")
     # a copy of a whole text: all of it is repeated, and dropped but for the copy with the least doc_id
-    result = light.join(both, "text_id")
+    # rows without a doc_id are alike but for their number: the first of a text is 1
+    named = light.where("doc_id is not null").join(both, "text_id").withColumn("nth", F.lit(1).cast("bigint"))
+    counted = light.where("doc_id is null").select("text_id", "n_words").distinct()
+    unnamed = counted.join(both, "text_id").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "nulls"))).withColumn("doc_id", F.lit(None).cast("bigint"))
+    result = named.unionByName(unnamed)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
-    copy, first = F.col("copies") > 1, F.col("doc_id") == F.col("rep")
+    copy, first = F.col("copied"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("nth") == 1)
     partners = F.coalesce("partners", F.array().cast("array<bigint>"))
     result = result.select(
         "doc_id",
+        "text_id",
+        "nth",
         F.col("n_words").cast("bigint").alias("n_words"),
         F.when(copy, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
         F.when(copy & ~first, whole).otherwise(F.coalesce("drops", none)).alias("drops"),
-        F.when(copy & ~first, F.array_union(F.array("rep"), partners)).otherwise(partners).alias("partners"),
+        F.when(copy & ~first & F.col("rep").isNotNull(), F.array_union(F.array("rep"), partners)).otherwise(partners).alias("partners"),
     )
-    return result.select("doc_id", "n_words", _length(F.col("spans")).alias("repeated_words"), _length(F.col("drops")).alias("dropped_words"), "spans", "drops", "partners")
+    return result.select("doc_id", "text_id", "nth", "n_words", _length(F.col("spans")).alias("repeated_words"), _length(F.col("drops")).alias("dropped_words"), "spans", "drops", "partners")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -343,9 +369,13 @@ def cut(text: str, drops: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, in its own columns, with dropped passages cut from text; rows left without a word go. n_chars, where it is a column, follows."""
     own = docs.columns
-    drops = repeated_passages(docs).where("dropped_words > 0").groupBy(F.col("doc_id").alias("__id"), F.col("n_words").alias("__n")).agg(F.first("drops").alias("__drops"))
-    n_words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("bigint")
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (n_words == F.col("__n")), "left")
+    drops = _repeats(docs).where("dropped_words > 0")
+    # a row is known by doc_id and text; those without a doc_id go to their text's first row
+    kept = drops.where("doc_id is not null or nth = 1").select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text"), F.col("drops").alias("__drops")).distinct()
+    n_words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    copies = F.coalesce(F.col("doc_id").isNull() & (n_words >= MIN_WORDS), F.lit(False))
+    fresh = docs.where(~copies).unionByName(docs.where(copies).dropDuplicates(["text"]))
+    joined = fresh.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_id() == F.col("__text")), "left")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     kinds = {f.name: f for f in docs.schema}
 
