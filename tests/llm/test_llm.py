@@ -95,8 +95,7 @@ def test_token_file_against_library(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    texts = {11: "Don't STOP... it's 3.5, ok?", 12: "ΟΔΟΣ ΣΑΣ", 13: "İstanbul ﬁne café café", 14: "a,b.c ,, .. x", 15: "<|endoftext|> y", 16: None, 17: "漢字 kana tail z"}
+    texts = {11: "Don't STOP... it's 3.5, ok?", 12: "ΟΔΟΣ ΣΑΣ", 13: "İstanbul ﬁne café café", 14: "a,b.c ,, .. x", 15: "<|endoftext|> y", 18: "a <|EndOfText|>b, c. d.. e", 19: "x. ´, İ, \x1c, 1. é.", 16: None, 17: "漢字 kana tail z"}
     out = token_file.token_file(table(spark, list(texts.items())), public_tokenizers.path("word_bpe_49k.json")).orderBy("doc_id").collect()
     start = 0
     for r in out:
@@ -226,6 +225,34 @@ def test_jaccard_keys_meet_for_every_linked_pair():
                         assert len(np.intersect1d(scheme.keys(a), scheme.keys(b))), (n, cut, add)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_linked_sets_share_the_keys_they_need(percent):
+    r = random.Random(percent)
+    scheme = jaccard_join.Scheme(percent)
+    some = lambda n: [r.getrandbits(63) for _ in range(n)]
+    for n in [*range(2, 60), 75, 130, 333, 800]:
+        for _ in range(8):
+            a = some(n)
+            gone = r.randrange(0, n * (100 - percent) // 100 + 1)
+            new = (100 * (n - gone) - percent * n) // percent
+            b = a[gone:] + some(r.randrange(0, new + 1))
+            x, y = (np.unique(np.array(z, np.uint64)) for z in (a, b))
+            common = len(np.intersect1d(x, y))
+            if len(x) == len(y) == common or 100 * common < percent * (len(x) + len(y) - common):
+                continue
+            for one, other in ((x, y), (y, x)):
+                held = scheme.keys(other)
+                assert any(len(np.intersect1d(k, held)) >= need for need, k in scheme.parts(one)), (n, gone)
+
+
+def test_jaccard_hot_keys_give_the_same(spark, monkeypatch):
+    rows = [(i, " ".join([prose(60, 1), prose(6, 10 + i // 3)])) for i in range(150)] + [(500 + i, prose(70, 900 + i)) for i in range(40)]
+    monkeypatch.setattr(jaccard_join, "SEEN", 1)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(table(spark, rows), 3, 90, block=20).collect()}
+    assert got == brute_components(rows, 3, 90)
+
+
 def test_jaccard_keys_of_long_sets_at_80():
     r = random.Random(8)
     scheme = jaccard_join.Scheme(80)
@@ -302,6 +329,24 @@ def test_without_repeats_keeps_one_copy(spark):
     assert 4 not in out and out[5].text is None and out[2].n_chars == len(out[2].text)
 
 
+def test_suffix_copies_of_rows_without_an_id(spark):
+    a, b, c = prose(60, 71), prose(64, 72), prose(66, 73)
+    docs = table(spark, [(None, a), (7, a), (None, b), (None, b), (3, c), (4, "x"), (None, "y"), (None, "y")])
+    got = sorted((x.doc_id or 0, x.n_words, x.dropped_words) for x in suffix_dedup.repeated_passages(docs).collect())
+    assert got == [(0, 60, 0), (0, 64, 0), (0, 64, 64), (7, 60, 60)]
+    left = sorted((x.doc_id or 0, x.text) for x in suffix_dedup.without_repeats(docs).collect())
+    assert left == sorted([(0, a), (0, b), (3, c), (4, "x"), (0, "y"), (0, "y")])
+
+
+def test_suffix_drops_of_two_texts_under_one_id(spark):
+    passage = prose(60, 81).split()
+    one, other = prose(30, 82).split(), prose(30, 83).split()
+    # the same number of words, the passage at different places
+    rows = [(1, " ".join(passage)), (4, " ".join(one + passage)), (4, " ".join(passage + other)), (-9, " ".join(prose(20, 84).split() + passage))]
+    left = sorted((x.doc_id, x.text) for x in suffix_dedup.without_repeats(table(spark, rows)).collect())
+    assert [(i, t.split()) for i, t in left] == sorted([(-9, rows[3][1].split()), (4, one), (4, other)])
+
+
 def test_suffix_drops_of_many_copies_against_all_windows(spark):
     r = random.Random(6)
     long, short = prose(70, 31).split(), prose(50, 32).split()
@@ -379,6 +424,27 @@ def test_top_k_against_all_scores(spark):
         assert got[q] == [(i, round(-s, 6)) for s, i in sorted(scores)[:7]]
 
 
+def test_top_k_over_shards_with_copies_and_rows_without_an_id(spark, monkeypatch):
+    # several shards and tasks, blocks and clusters; copies tie, and a null id comes last among them
+    monkeypatch.setattr(topk_search, "SHARD_BYTES", 30_000)
+    base = [(i, prose(random.Random(i).randrange(20, 90), i % 190)) for i in range(600)]
+    rows = base + [(None, base[50][1]), (None, base[50][1]), (1000, base[50][1]), (-3, base[100][1])]
+    terms = [Counter(topk_search.terms_of(t).tolist()) for _, t in rows]
+    length = [sum(c.values()) for c in terms]
+    mean, df = sum(length) / len(rows), Counter(t for c in terms for t in c)
+    got = defaultdict(list)
+    for x in topk_search.top_k(table(spark, rows), k=7).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.doc_id, round(x.score, 6)))
+    for q in [i for i in range(0, 600, 50)] + [1000]:
+        own = set().union(*[c for (i, _), c in zip(rows, terms, strict=True) if i == q])
+        scores = []
+        for (i, _), c, n in zip(rows, terms, length, strict=True):
+            s = math.fsum(math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * n / mean)) for t in own & c.keys())
+            if s > 0:
+                scores.append((-round(s, 9), i is None, i or 0, i))
+        assert got[q] == [(i, round(-s, 6)) for s, _, _, i in sorted(scores)[:7]], q
+
+
 def test_ranks_file_is_read():
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     assert len(ranks) > 50_000 and base64.b64encode(b"!") and ranks[b"!"] == 0
