@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import kmers as A
 from strandlake.functions import sequences as S
 
 MIN_LENGTH = 32
@@ -17,15 +18,17 @@ def reads_of(documents: DataFrame) -> DataFrame:
 
 def kmers(reads: DataFrame, k: int, least: int = MIN_LENGTH) -> DataFrame:
     """(read_id, pos, kmer) of reads at least `least` long; shorter ones have no meaningful sketch."""
-    long_enough = reads.where(F.length("seq") >= max(k, least))
-    return long_enough.select("read_id", F.posexplode(S.kmer_strings(F.col("seq"), k)).alias("pos", "s")).select("read_id", "pos", S.kmer_to_int(F.col("s")).alias("kmer"))
+    return reads.select("read_id", "seq").mapInArrow(A.kmer_batches(k, least), "read_id bigint, pos int, kmer bigint")
+
+
+def kmer_totals(reads: DataFrame, k: int, least: int = MIN_LENGTH) -> DataFrame:
+    """(read_id, n, kinds, total): a read's k-mers, its distinct ones, and the sum of their numbers."""
+    return reads.select("read_id", "seq").mapInArrow(A.kmer_totals(k, least), "read_id bigint, n bigint, kinds bigint, total bigint")
 
 
 def minhash(reads: DataFrame, k: int, n: int, least: int = MIN_LENGTH) -> DataFrame:
-    """(read_id, hash_idx, min_hash): least kmer xor seed, one aggregate for all n columns, unpivoted after it."""
-    mins = [F.min(F.col("kmer").bitwiseXOR(F.lit(s).cast("bigint"))).alias(f"h{j}") for j, s in enumerate(S.seeds(k, n))]
-    wide = kmers(reads, k, least).groupBy("read_id").agg(*mins)
-    return wide.select("read_id", F.posexplode(F.array(*[f"h{j}" for j in range(n)])).alias("hash_idx", "min_hash"))
+    """(read_id, hash_idx, min_hash): least kmer xor seed, worked out where the read is."""
+    return reads.select("read_id", "seq").mapInArrow(A.minhash_batches(k, S.seeds(k, n), least), "read_id bigint, hash_idx int, min_hash bigint")
 
 
 def sketch_join(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
@@ -54,24 +57,10 @@ def sort_merge_align(pairs: DataFrame, kmer_rows: DataFrame, least: int = 10) ->
     return out.where(F.col("shared") >= least).select("a", "b", "shared", F.expr("offsets div shared").alias("rel_pos"))
 
 
-def nt4_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, pos, fwd, rev): k-mers of both strands in the order A, C, G, T; those with other letters go."""
-    strings = reads.select("read_id", F.posexplode(S.kmer_strings(F.col("seq"), k)).alias("pos", "s"))
-    codes = S.nt4_codes(F.col("s"))
-    back = S.nt4_codes(S.reverse_complement(F.upper(F.col("s"))))
-    clean = strings.where(~codes.contains("4"))
-    return clean.select("read_id", "pos", F.conv(codes, 4, 10).cast("bigint").alias("fwd"), F.conv(back, 4, 10).cast("bigint").alias("rev"))
-
-
-def minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
-    """(read_id, pos, strand, minimizer): least hash of each w consecutive k-mers, the last of equal ones; k-mers equal to their reverse complement are skipped."""
-    own = nt4_kmers(reads, k).where("fwd <> rev")
-    own = own.select("read_id", "pos", (F.col("rev") < F.col("fwd")).cast("int").alias("strand"), S.hash64(F.least("fwd", "rev"), 2 * k).alias("h"))
-    window = Window.partitionBy("read_id").orderBy("pos").rowsBetween(-(w - 1), 0)
-    full = Window.partitionBy("read_id").orderBy("pos")
-    least = F.min(F.struct(F.col("h"), (-F.col("pos")).alias("p"), F.col("strand"))).over(window)
-    picked = own.select("read_id", F.row_number().over(full).alias("rn"), F.count("*").over(Window.partitionBy("read_id")).alias("n"), least.alias("m"))
-    return picked.where((F.col("rn") >= w) | (F.col("rn") == F.col("n"))).select("read_id", (-F.col("m.p")).alias("pos"), F.col("m.strand").alias("strand"), F.col("m.h").alias("minimizer")).distinct()
+def minimizers(reads: DataFrame, k: int, w: int, homopolymers: bool = False, spans: bool = False) -> DataFrame:
+    """(read_id, pos, strand, minimizer[, span]): least hash of each w consecutive k-mers, the last of equal ones; k-mers equal to their reverse complement are skipped. homopolymers: runs of a base count as one."""
+    made = reads.select("read_id", "seq").mapInArrow(A.minimizer_batches(k, w, homopolymers), "read_id bigint, pos int, strand int, minimizer bigint, span int")
+    return made if spans else made.drop("span")
 
 
 def occurrence_cutoff(index: DataFrame, share: float) -> int:

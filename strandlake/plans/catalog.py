@@ -1,6 +1,6 @@
 """All named queries: importing this module registers them."""
 
-from . import interval_queries, mapping_queries, sequence_queries  # noqa: F401
+from . import hit_queries, interval_queries, mapping_queries, sequence_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

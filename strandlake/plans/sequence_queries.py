@@ -100,7 +100,7 @@ def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmer_count", f"with {READS}, {_ints_sql(11)} select read_id, count(*) as n, count(distinct kmer) as kinds, cast(sum(kmer) as bigint) as total from ki group by read_id")
 def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.kmers(reads(spark, sf_dir), 11).groupBy("read_id").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("kinds"), F.sum("kmer").alias("total"))
+    return K.kmer_totals(reads(spark, sf_dir), 11)
 
 
 @query("int_to_kmer", f"with {READS}, {_ints_sql(12)} select ki.read_id, ki.pos, km.s as kmer, ki.kmer as code from ki join km on km.read_id = ki.read_id and km.pos = ki.pos")
