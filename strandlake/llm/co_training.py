@@ -4,7 +4,8 @@ Text view: hashed word shapes and words of the whole text, with a few figures of
 Metadata view: the other columns of the row (source, language, number of characters), never the text.
 
 Each view is a logistic regression. In each round a view, calibrated on held-out labelled rows, hands
-the pool rows it is surest of to the other view as pseudo-labels. At the end both views are calibrated
+the HANDED pool rows of each class it is surest of to the other view as pseudo-labels, each weighed by
+what the view knows beyond the class' share: a view that knows nothing teaches nothing. At the end both views are calibrated
 anew (Platt scaling), their log odds beyond the base rate are added, and every document is scored.
 
 Fitting sees a bounded sample: at most LABELLED labelled rows and POOL unlabelled rows, in the order
@@ -12,8 +13,8 @@ of a hash, as vectors of WIDTH numbers; both bounds are parameters. Their ids ar
 broadcast. Scoring is one pass over all whole texts, with models of a few KB.
 
 Edge cases: a null text or null metadata is a value of its own. Without labels of both classes every
-score is the base rate (0.5 without any label). Documents that repeat are each scored; labels that
-repeat for a document each count, conflicting ones too. Empty tables give empty results.
+score is the base rate (0.5 without any label). Documents that repeat are each scored, but fitted on
+once; labels that repeat for a document count once each, conflicting ones too. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 LABELLED, POOL, ROUNDS = 4000, 4000, 5
 SHAPES, WORDS, FIGURES, META = 512, 512, 8, 256
 WIDTH = SHAPES + WORDS + FIGURES
-#: A view hands on pool rows it is at least so sure of, at most so many of each class in a round.
-SURE, HANDED = 0.95, 200
+#: A view hands on so many pool rows of each class in a round, its surest ones, if they gain at least so much on the class' share.
+LEAST_GAIN, HANDED = 0.02, 200
+#: How strongly calibration is held to the view's own odds.
+PULL = 0.1
 KEEP_FROM = 0.5
 REMEMBERED = 300_000
 
@@ -44,7 +47,7 @@ def _shape(word: str) -> str:
         x = m[0]
         return "X" if x.isupper() and len(x) > 1 else "Aa" if x[0].isupper() else "aa"
 
-    return _RUNS[1].sub("0", _RUNS[0].sub(letters, word))[:24]
+    return _RUNS[1].sub("0", _RUNS[0].sub(letters, word))
 
 
 class TextView:
@@ -136,17 +139,28 @@ class Logistic:
         return np.clip(((x - self.mean) / self.scale) @ self.w + self.b, -30, 30)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        s = self.raw(x)
+        """Platt scaling on rows that the fit didn't see: damped Newton steps, with a weak pull to a = 1, c = 0."""
+        s = self.raw(x).astype(np.float64)
         # targets kept off 0 and 1, as Platt proposed
         t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-        a, c = 1.0, 0.0
-        for _ in range(50):
+
+        def loss(a: float, c: float) -> float:
+            z = a * s + c
+            return float((np.logaddexp(0, z) - t * z).sum() + PULL / 2 * ((a - 1) ** 2 + c**2))
+
+        a, c, now = 1.0, 0.0, loss(1.0, 0.0)
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
-            v = np.maximum(p * (1 - p), 1e-6)
-            g, h = np.array([((p - t) * s).sum() + 1e-3 * (a - 1), (p - t).sum()]), np.array([[(v * s * s).sum() + 1e-3, (v * s).sum()], [(v * s).sum(), v.sum() + 1e-6]])
-            d = np.linalg.solve(h, g)
-            a, c = float(np.clip(a - d[0], 0.0, 10.0)), float(np.clip(c - d[1], -20, 20))
-        self.a, self.c = a, c
+            v = p * (1 - p)
+            g = np.array([((p - t) * s).sum() + PULL * (a - 1), (p - t).sum() + PULL * c])
+            h = np.array([[(v * s * s).sum() + PULL, (v * s).sum()], [(v * s).sum(), v.sum() + PULL]])
+            d, step = np.linalg.solve(h, g), 1.0
+            while step > 1e-6 and (new := loss(max(a - step * d[0], 0.0), c - step * d[1])) > now - 1e-4 * step * float(g @ d):
+                step /= 2
+            if step <= 1e-6:
+                break
+            a, c, now = max(a - step * d[0], 0.0), c - step * d[1], new
+        self.a, self.c = float(a), float(c)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return self.a * self.raw(x) + self.c
@@ -189,12 +203,14 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
             break
         for j in range(2):
             p = 1 / (1 + np.exp(-np.clip(views[j].odds(pool[j]), -30, 30)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                at = np.flatnonzero(free & (sure >= SURE))
-                at = at[np.argsort(-sure[at], kind="stable")][:HANDED]
+            for label, sure, share in ((1.0, p, base), (0.0, 1 - p, 1 - base)):
+                # the surest rows of each class go over, each for as much as the view says beyond the class' share
+                gain = np.clip((sure - share) / (1 - share), 0.0, 1.0)
+                at = np.flatnonzero(free & (gain > LEAST_GAIN))
+                at = at[np.argsort(-gain[at], kind="stable")][:HANDED]
                 free[at] = False
                 a, b, w = own[1 - j]
-                own[1 - j] = (np.concatenate([a, pool[1 - j][at]]), np.concatenate([b, np.full(len(at), label, np.float32)]), np.concatenate([w, np.full(len(at), 0.5, np.float32)]))
+                own[1 - j] = (np.concatenate([a, pool[1 - j][at]]), np.concatenate([b, np.full(len(at), label, np.float32)]), np.concatenate([w, (0.5 * gain[at]).astype(np.float32)]))
     return CoTrained(views[0], views[1], base)
 
 
@@ -214,7 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     picked = own.unionByName(rest).drop("o")
     # both sides of the union end in a limit, so what is broadcast is bounded by the parameters
     rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(picked), "doc_id")
-    found = rows.mapInArrow(_vectors, "doc_id bigint, quality int, t binary, m binary").limit(2 * (labelled + pool)).collect()
+    # of rows that share a doc_id and a label, the one with the least vectors stands for all: at most as many as were picked
+    least = F.min(F.struct("t", "m")).alias("v")
+    found = rows.mapInArrow(_vectors, "doc_id bigint, quality int, t binary, m binary").groupBy("doc_id", "quality").agg(least).select("doc_id", "quality", "v.t", "v.m").collect()
     known = {r["doc_id"] for r in found if r["quality"] is not None}
     a = sorted((r for r in found if r["quality"] is not None), key=lambda r: (r["doc_id"], r["quality"]))
     b = sorted((r for r in found if r["quality"] is None and r["doc_id"] not in known), key=lambda r: r["doc_id"])
