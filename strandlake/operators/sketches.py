@@ -16,6 +16,12 @@ def reads_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("read_id"), S.dna(F.col("text")).alias("seq"))
 
 
+def alignable(reads: DataFrame, least: int = MIN_LENGTH, most: int | None = None) -> DataFrame:
+    """Reads that overlaps are looked for in: long enough, not too long, not repetitive (those would share a sketch with each other)."""
+    out = reads.where((F.length("seq") >= least) & ~S.is_repetitive(F.col("seq")))
+    return out if most is None else out.where(F.length("seq") <= most)
+
+
 def kmers(reads: DataFrame, k: int, least: int = MIN_LENGTH) -> DataFrame:
     """(read_id, pos, kmer) of reads at least `least` long; shorter ones have no meaningful sketch."""
     return reads.select("read_id", "seq").mapInArrow(A.kmer_batches(k, least), "read_id bigint, pos int, kmer bigint")
@@ -73,9 +79,10 @@ def seed_join(queries: DataFrame, index: DataFrame, most: int, same_ids: bool =
     """(query_id, read_id, rev, query_pos, ref_pos): anchors on shared minimizers that occur fewer than `most` times. same_ids: both sides name the same reads, and a read isn't joined with itself."""
     rare = index.groupBy("minimizer").agg(F.count("*").alias("n")).where(F.col("n") < most).select("minimizer")
     ref = index.join(rare, "minimizer", "left_semi").select("minimizer", F.col("read_id"), F.col("pos").alias("ref_pos"), F.col("strand").alias("ref_strand"))
-    q = queries.select("minimizer", F.col("read_id").alias("query_id"), F.col("pos").alias("query_pos"), "strand")
+    own = ["span"] if "span" in queries.columns else []
+    q = queries.select("minimizer", F.col("read_id").alias("query_id"), F.col("pos").alias("query_pos"), "strand", *own)
     met = q.join(ref, "minimizer")
-    return (met.where("query_id <> read_id") if same_ids else met).select("query_id", "read_id", (F.col("strand") != F.col("ref_strand")).cast("int").alias("rev"), "query_pos", "ref_pos")
+    return (met.where("query_id <> read_id") if same_ids else met).select("query_id", "read_id", (F.col("strand") != F.col("ref_strand")).cast("int").alias("rev"), "query_pos", "ref_pos", *own)
 
 
 def tandem_flags(index: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
-from strandlake.operators import edits
+from strandlake.operators import archive, consensus, edits
 from strandlake.operators import sketches as K
 from strandlake.operators.components import connected_components
 
@@ -287,9 +287,48 @@ def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("source", F.sum("delta").over(running).alias("doc_id"))
 
 
-@query("roundtrip", f"with {READS} select read_id, seq from reads")
+def encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reads, every third turned, encoded against consensus paths of their components on both strands."""
+    own = reads(spark, sf_dir).select("read_id", F.when(F.col("read_id") % 3 == 1, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    sketches = materialize(K.minhash(own, KMER, HASHES), "sketches")
+    turned = K.minhash(own.select("read_id", S.reverse_complement(F.col("seq")).alias("seq")), KMER, HASHES)
+    pairs = consensus.both_strands(sketches, turned, LEAST)
+    return consensus.encode(own, connected_components(pairs, "a", "b"))
+
+
+@query("roundtrip", f"with {READS} select read_id, case when read_id % 3 = 1 then translate(reverse(seq), 'ACGT', 'TGCA') else seq end as seq from reads")
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads encoded as contig references, edit scripts and lone reads, then decoded."""
+    """Reads of both strands encoded as consensus paths, edit scripts and lone reads, then decoded."""
+    contigs, placements, lone, _ = encoded(spark, sf_dir)
+    return consensus.decode(contigs, placements, lone)
+
+
+@query("seed_roundtrip", f"with {READS} select read_id, seq from reads")
+def seed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plainer archive: each contig's first read is its reference."""
     own = reads(spark, sf_dir)
     contigs, placements, lone = edits.encode(own, components(spark, sf_dir)[1])
     return edits.decode(materialize(contigs, "contigs"), materialize(placements, "placements"), materialize(lone, "lone"))
+
+
+@query("consensus_status")
+def consensus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contig graphs: reads, nodes, edges, mean weight of the main path."""
+    return encoded(spark, sf_dir)[3]
+
+
+@query("archive_metadata", f"with {READS} select count(*) as reads from reads")
+def archive_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every read is in one stream of the archive: the count that its metadata gives."""
+    contigs, placements, lone, _ = encoded(spark, sf_dir)
+    return archive.metadata(contigs, placements, lone).select((F.col("placed") + F.col("lone")).alias("reads"))
+
+
+@query("edit_optimize", "select l_orderkey as id, l_linenumber as line, repeat('sT', least(d, n)) || repeat('d-', greatest(d - n, 0)) || repeat('iT', greatest(n - d, 0)) || 'u5sA' || 'd-' as text from (select l_orderkey, l_linenumber, cast(l_partkey % 4 as int) as d, cast(l_suppkey % 4 as int) as n from lineitem)")
+def edit_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletions and insertions in a row as substitutions."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    op = lambda o, n, b: F.struct(F.lit(o).alias("op"), F.lit(n).alias("len"), F.lit(b).cast("string").alias("base"))
+    run = lambda e, n: F.array_repeat(e, n.cast("int"))
+    script = F.concat(run(op("d", 1, None), F.col("l_partkey") % 4), run(op("i", 1, "T"), F.col("l_suppkey") % 4), F.array(op("u", 5, None), op("s", 1, "A"), op("d", 1, None)))
+    return t.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), edits.edit_text(edits.optimized(script)).alias("text"))
