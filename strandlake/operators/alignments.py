@@ -94,3 +94,16 @@ def call_variants(aligned: DataFrame) -> DataFrame:
     ref = F.when(op == "*", F.substring(arg, 1, 1)).when(op == "-", arg).otherwise("-")
     alt = F.when(op == "*", F.substring(arg, 2, 1)).when(op == "+", arg).otherwise("-")
     return placed.select("tname", "st", (F.col("st") + F.when(op == "+", 0).otherwise(F.length(ref))).alias("en"), ref.alias("ref"), alt.alias("alt"), "qname", "mapq")
+
+
+def confident_calls(aligned: DataFrame, least_quality: int, least_block: int, width: int) -> DataFrame:
+    """aligned: tname, tstart, tend, qname, mapq, blen, cs. Variants of alignments of some quality and length, where exactly one of these covers the target."""
+    from .intervals import depth, overlap_join
+
+    good = aligned.where((F.col("mapq") >= least_quality) & (F.col("blen") >= least_block))
+    once = depth(good.select("tname", F.col("tstart").alias("st"), F.col("tend").alias("en")), ["tname"]).where("depth = 1").select("tname", "st", "en")
+    found = call_variants(good)
+    # an insertion has no base of its own on the target: it is covered where the base after it is
+    spans = found.withColumn("own_en", F.col("en")).withColumn("en", F.greatest("en", F.col("st") + 1))
+    met = overlap_join(spans, once, ["tname"], width).where("b_st <= st and en <= b_en")
+    return met.select("tname", "st", F.col("own_en").alias("en"), "ref", "alt", "qname", "mapq")

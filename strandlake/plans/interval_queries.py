@@ -11,7 +11,7 @@ from strandlake.operators import intervals as I
 
 from .registry import query
 
-HOUR, BIN = 3600, 7200
+HOUR, BIN, WEEK = 3600, 7200, 604_800
 DAY_BIN = 64
 
 EVENTS = f"iv as (select event_id, user_id as ctg, cast(floor(epoch(ts)) as bigint) as st, cast(floor(epoch(ts)) as bigint) + {HOUR} as en from events)"
@@ -37,12 +37,12 @@ def _islands_sql(source: str, by: str = "ctg") -> str:
 
 @query("interval_merge", f"with {EVENTS}, {_islands_sql('iv')} select ctg, st, en, members from isl")
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merged(events(spark, sf_dir), ["ctg"])
+    return I.merged(events(spark, sf_dir), ["ctg"], width=WEEK)
 
 
 @query("interval_union_len", f"with {EVENTS}, {_islands_sql('iv')} select ctg, cast(sum(en - st) as bigint) as covered, count(*) as islands from isl group by ctg")
 def interval_union_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.union_length(events(spark, sf_dir), ["ctg"])
+    return I.union_length(events(spark, sf_dir), ["ctg"], width=WEEK)
 
 
 DEPTH_SQL = f"""{EVENTS}, ends as (select ctg, st as pos, 1 as d from iv union all select ctg, en, -1 from iv),
@@ -52,12 +52,12 @@ DEPTH_SQL = f"""{EVENTS}, ends as (select ctg, st as pos, 1 as d from iv union a
 
 @query("depth_profile", f"with {DEPTH_SQL} select ctg, st, en, depth from swept where en is not null and depth > 0")
 def depth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.depth(events(spark, sf_dir), ["ctg"])
+    return I.depth(events(spark, sf_dir), ["ctg"], width=WEEK)
 
 
 @query("depth_eq_1", f"with {DEPTH_SQL} select ctg, cast(sum(en - st) as bigint) as once from swept where en is not null and depth = 1 group by ctg")
 def depth_eq_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.depth(events(spark, sf_dir), ["ctg"]).where("depth = 1").groupBy("ctg").agg(F.sum(F.col("en") - F.col("st")).alias("once"))
+    return I.depth(events(spark, sf_dir), ["ctg"], width=WEEK).where("depth = 1").groupBy("ctg").agg(F.sum(F.col("en") - F.col("st")).alias("once"))
 
 
 @query("overlap_join", f"with {EVENTS} select a.event_id, b.event_id as other from iv a join iv b on a.ctg = b.ctg and a.st < b.en and b.st < a.en and a.event_id < b.event_id")
@@ -72,8 +72,8 @@ CLICKS = "event_type = (select min(event_type) from events)"
 def _kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events of the first type in order, and all others, as two interval sets."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
-    first = t.agg(F.min("event_type").alias("first"))
-    own = events(spark, sf_dir).join(t, "event_id").join(F.broadcast(first), F.lit(True))
+    least = t.agg(F.min("event_type")).scalar()
+    own = events(spark, sf_dir).join(t, "event_id").withColumn("first", least)
     cols = ["event_id", "ctg", "st", "en"]
     return own.where("event_type = first").select(*cols), own.where("event_type <> first").select(*cols)
 
@@ -110,7 +110,7 @@ def semi_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("asof_prev", f"with {KINDS_SQL} select tg.event_id, tg.st, (select max(ot.st) from ot where ot.ctg = tg.ctg and ot.st <= tg.st) as prev_st from tg")
 def asof_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, others = _kinds(spark, sf_dir)
-    found = I.previous(targets, others.withColumnRenamed("st", "prev_st"), ["ctg"], "st", "prev_st", "prev_st")
+    found = I.previous(targets, others.withColumnRenamed("st", "prev_st"), ["ctg"], "st", "prev_st", "prev_st", width=WEEK)
     return found.select("event_id", "st", "prev_st")
 
 
@@ -279,4 +279,4 @@ def asmgene_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("events_sessions", f"with {EVENTS}, {_islands_sql('iv')} select ctg, count(*) as sessions, max(members) as longest, max(en - st) as widest from isl group by ctg")
 def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merged(events(spark, sf_dir), ["ctg"]).groupBy("ctg").agg(F.count("*").alias("sessions"), F.max("members").alias("longest"), F.max(F.col("en") - F.col("st")).alias("widest"))
+    return I.merged(events(spark, sf_dir), ["ctg"], width=WEEK).groupBy("ctg").agg(F.count("*").alias("sessions"), F.max("members").alias("longest"), F.max(F.col("en") - F.col("st")).alias("widest"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as S
-from strandlake.operators import archive, consensus, edits
+from strandlake.operators import archive, consensus, edits, intervals
 from strandlake.operators import sketches as K
 from strandlake.operators.components import connected_components
 
@@ -276,15 +276,14 @@ def sample_min_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("delta_encode", "select source, doc_id, doc_id - lag(doc_id, 1, 0) over (partition by source order by doc_id) as delta from documents")
 def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id")
-    return d.select("source", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(Window.partitionBy("source").orderBy("doc_id"))).alias("delta"))
+    return intervals.delta_encoded(d, ["source"], "doc_id", 10_000)
 
 
 @query("delta_decode", "select source, doc_id from documents")
 def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running sum of delta_encode gives the ids again."""
-    running = Window.partitionBy("source").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = delta_encode(spark, sf_dir).withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return own.select("source", F.sum("delta").over(running).alias("doc_id"))
+    """The running sum of delta_encode gives the ids again; the encoded rows stand in the order of their file, here of doc_id."""
+    own = delta_encode(spark, sf_dir).withColumnRenamed("doc_id", "ordinal")
+    return intervals.delta_decoded(own, ["source"], "ordinal", 10_000, "doc_id").select("source", "doc_id")
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -108,7 +108,8 @@ def sam_lines(hits: DataFrame, reads: DataFrame) -> DataFrame:
     both = names.join(hits.withColumnRenamed("read_id", "target"), "query_id", "left")
     back, second = F.col("strand") == "-", F.col("rank") != F.col("parent")
     unmapped = F.col("target").isNull()
-    flag = F.when(unmapped, 4).otherwise(F.when(back, 16).otherwise(0) + F.when(second, 256).when(F.col("rank") > 0, 2048).otherwise(0))
+    further = (F.col("rank") > 0) | (F.col("part") > 0) if "part" in hits.columns else F.col("rank") > 0
+    flag = F.when(unmapped, 4).otherwise(F.when(back, 16).otherwise(0) + F.when(second, 256).when(further, 2048).otherwise(0))
     left = F.when(back, F.col("qlen") - F.col("qend")).otherwise(F.col("qstart"))
     right = F.col("qlen") - (F.col("qend") - F.col("qstart")) - left
     clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")

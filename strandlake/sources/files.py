@@ -12,10 +12,20 @@ BED = "ctg STRING, st INT, en INT, name STRING, score INT, strand STRING"
 BED12 = BED + ", thick_st INT, thick_en INT, rgb STRING, n_blocks INT, sizes STRING, starts STRING"
 
 
+def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with the file and block they stand in and their order there; and one row a block: first number, lines, headers, and lines and headers before it in the order of files."""
+    scan = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = scan.withColumn("id", F.monotonically_increasing_id())
+    own = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.count_if(F.col("value").startswith(">")).alias("heads"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # blocks alone meet in one task, never their lines
+    return lines, own.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("heads_before"))
+
+
 def numbered_lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
-    """(line_no, value), from 0 in file order. Counting needs one pass over partition sizes; lines never meet in one task."""
-    lines = spark.read.text(path)
-    own = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("line_no bigint, value string")
+    """(line_no, value), from 0 in file order: a block's lines are numbered in their task, from the number of lines in the blocks before it."""
+    lines, blocks = _blocks(spark, path)
+    own = lines.join(blocks, ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
     return own if comment is None else own.where(~F.col("value").startswith(comment))
 
 
@@ -37,16 +47,45 @@ def simulated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(record, name, comment, seq): wrapped lines are joined; U is read as T."""
-    lines = numbered_lines(spark, path)
-    run = Window.orderBy("line_no")
+    """(record, name, comment, seq): wrapped lines are joined; U is read as T. A line's record is the number of headers up to it: those of earlier blocks and those before it in its own."""
+    lines, blocks = _blocks(spark, path)
     head = F.col("value").startswith(">")
-    # headers are few beside the lines: they are numbered alone and lines find theirs by range
-    heads = lines.where(head).select(F.col("line_no").alias("from"), (F.coalesce(F.lead("line_no").over(run), F.lit((1 << 62))) - 1).alias("to"), (F.row_number().over(run) - 1).alias("record"), F.col("value").alias("head"))
-    joined = lines.where(~head).join(heads, (F.col("line_no") > F.col("from")) & (F.col("line_no") <= F.col("to")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("value").alias("v")))), lambda x: x["v"]), "")
-    own = joined.groupBy("record", "head").agg(text.alias("seq"))
-    return own.select("record", F.regexp_extract("head", r"^>(\S*)", 1).alias("name"), F.regexp_extract("head", r"^>\S*\s+(.*)$", 1).alias("comment"), F.translate("seq", "uU", "tT").alias("seq"))
+    order = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = lines.join(blocks, ["file", "block"]).withColumn("record", F.col("heads_before") + F.sum(head.cast("bigint")).over(order) - 1).where("record >= 0")
+    line = F.struct((F.col("before") + F.col("id") - F.col("first")).alias("line_no"), F.trim("value").alias("v"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~head, line))), lambda x: x["v"]), "")
+    joined = own.groupBy("record").agg(F.max(F.when(head, F.col("value"))).alias("head"), text.alias("seq"))
+    return joined.select("record", F.regexp_extract("head", r"^>(\S*)", 1).alias("name"), F.regexp_extract("head", r"^>\S*\s+(.*)$", 1).alias("comment"), F.translate("seq", "uU", "tT").alias("seq"))
+
+
+def interleaved(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(read_id, mate, name, seq): the records of several files in turn; records that another file lacks are left out."""
+    each = [sequences(spark, p) for p in paths]
+    both = each[0].select("read_id")
+    for e in each[1:]:
+        both = both.join(e.select("read_id"), "read_id")
+    every = [e.join(both, "read_id").select("read_id", F.lit(k).alias("mate"), "name", "seq") for k, e in enumerate(each)]
+    out = every[0]
+    for e in every[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def mini_batches(reads: DataFrame, bases: int, block: int = 10_000) -> DataFrame:
+    """reads: read_id (dense, in order), name, seq; with batch: a new one begins where the bases before pass a multiple of `bases`; mates (names that differ in /1 and /2) share one. Running sums are by blocks of read ids."""
+    stem = F.regexp_replace("name", "/[12]$", "")
+    own = reads.withColumn("stem", stem).withColumn("n", F.length("seq").cast("bigint")).withColumn("block", F.expr(f"read_id div {block}"))
+    totals = own.groupBy("block").agg(F.sum("n").alias("t"))
+    starts = totals.select("block", F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = Window.partitionBy("block").orderBy("read_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.join(starts, "block").withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    first = placed.groupBy("stem").agg(F.min("before").alias("at"))
+    return placed.join(first, "stem").select(*reads.columns, F.expr(f"at div {bases}").alias("batch"))
+
+
+def alternatives(spark: SparkSession, path: str) -> DataFrame:
+    """(t): names of alternative contigs, the first word of each line."""
+    return spark.read.text(path).select(F.regexp_extract("value", r"^(\S+)", 1).alias("t")).where("t <> ''").distinct()
 
 
 def sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -113,6 +152,14 @@ def write_paf(hits: DataFrame, path: str) -> None:
     hits.select(line.alias("value")).write.text(path)
 
 
+def with_unmapped(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """hits in PAF columns, and a row for each query (qname, qlen) that has none: no strand, target or places."""
+    names = [x.split() for x in PAF.split(", ")]
+    lost = queries.join(hits.select("qname").distinct(), "qname", "left_anti")
+    empty = [F.col(c) if c in ("qname", "qlen") else F.lit(None).cast(t).alias(c) for c, t in names]
+    return hits.select(*[c for c, _ in names], "tags").unionByName(lost.select(*empty, F.create_map().cast("map<string,string>").alias("tags")))
+
+
 def write_reads(reads: DataFrame, path: str) -> None:
     """One read a line, in the order of read_id over the files."""
     reads.repartitionByRange("read_id").sortWithinPartitions("read_id").select("seq").write.text(path)
