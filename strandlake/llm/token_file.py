@@ -76,7 +76,7 @@ class RunEncoder(dict):
         """Puts new runs into the store."""
         whole, cut, parts = [], {}, set()
         for r in runs:
-            if r.isalpha() and r.isascii():
+            if r.isalpha() and (r.isascii() or _PLAIN(r)):
                 parts.add(r)
             elif r.isprintable() and _PLAIN(r):
                 cut[r] = p = _PARTS(r)
@@ -106,11 +106,11 @@ class RunEncoder(dict):
             self.learn([runs[i] for i in new])
             for i in new:
                 known[i] = self[runs[i]]
-        at = coded.indices.to_numpy()
-        raw = b"".join(map(known.__getitem__, at.tolist()))
-        ends = np.cumsum(np.fromiter(map(len, known), np.int64, len(known))[at])
-        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
-        return [self._run(t) if p is None else raw[a:b] for t, p, a, b in zip(texts, plain, cuts, cuts[1:], strict=False)]
+        taken = pa.array(known, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+        raw = memoryview(taken.buffers()[2]) if taken.buffers()[2] is not None else memoryview(b"")
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [self._run(t) if p is None else bytes(raw[a:b]) for t, p, a, b in zip(texts, plain, cuts, cuts[1:], strict=False)]
 
     def _plain(self, text: str) -> str | None:
         """The text with a blank between its runs; None if it must go to the library whole."""
