@@ -21,11 +21,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that drops an execution's shuffle files at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later jobs and lost executors start from the table."""
+    """Writes df as a table in the shared folder and reads it back: later jobs and lost executors start from the table, so its shuffle files go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
