@@ -285,10 +285,8 @@ def _shared(entries: DataFrame, hot: DataFrame) -> DataFrame:
     return cold.unionByName(warm).where("least <> most").drop("most")
 
 
-def _stars(keyed: DataFrame) -> DataFrame:
-    """(node, least): the lists' members that can have a link, with their list's least one."""
-    # one row a node; copies meet in the partial aggregate
-    nodes = keyed.where("node is not null").groupBy("node").agg(F.min(F.struct("keys", "counts", "needs")).alias("x")).select("node", "x.*")
+def _stars(nodes: DataFrame) -> DataFrame:
+    """(node, least): the lists' members that can have a link, with their list's least one. nodes: node, keys, counts, needs."""
     part = F.expr("explode(filter(transform(counts, (n, i) -> struct(i as part, needs[i] as need, slice(keys, cast(aggregate(slice(counts, 1, i), 0, (a, b) -> a + b) as int) + 1, n) as keys)), p -> size(p.keys) > 0))")
     entries = nodes.select("node", part.alias("p")).select("node", "p.part", "p.need", F.explode("p.keys").alias("key"))
     sample = entries.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SAMPLE)) == 0)
@@ -307,14 +305,16 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
     keyed = materialize(own.mapInArrow(_keyed(ngram, percent), "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>, counts array<int>, needs array<int>"), "shingle-keys")
 
-    stars = _stars(keyed)
+    # one row a node; copies meet in the partial aggregate. From here on rows need no keys
+    nodes = materialize(keyed.where("node is not null").groupBy("node").agg(F.min(F.struct("keys", "counts", "needs")).alias("x")).select("node", "x.*"), "node-keys")
+    full, keyed = keyed, materialize(keyed.drop("keys", "counts", "needs"), "shingle-nodes")
+    discard(full)
+    stars = _stars(nodes)
     # a node of several least members is linked to the first of them only, and the others are linked to it: most nodes of a large group share these pairs
     met = stars.withColumn("first", F.min("least").over(Window.partitionBy("node")))
     pairs = met.select(F.when(F.col("least") == F.col("first"), F.col("node")).otherwise(F.col("least")).alias("node"), "first").distinct()
     candidates = connected_components(pairs, "node", "first")
-    # from here on no keys are needed
-    full, keyed = keyed, materialize(keyed.drop("keys", "counts", "needs"), "shingle-nodes")
-    discard(full)
+    discard(nodes)
 
     # the candidates' sets, made again from their texts, so that no set is stored for documents without any partner
     sized = candidates.groupBy("component").agg(F.count("*").alias("size"))
