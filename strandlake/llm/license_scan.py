@@ -9,7 +9,9 @@ rarest in the corpus first (then by spelling), counted over all documents. From
 * the positional filter: what remains after the first common prefix word, on either side, must
   still reach `need`;
 
-and what passes is verified by intersection. Templates are a parameter of the operator, a few KB, so
+and what passes is verified by intersection. The prefix words form an inverted index: a word leads to
+the templates whose prefix it is in, so a block looks at those alone, however many templates there are.
+Templates are a parameter (a dict, or a table by templates_of), at most MOST_BYTES, which is checked: so
 that side is a literal in the expression: no row is exploded, shuffled or joined, and a text that
 holds no prefix word costs one lookup a word. What is collected is one count for each template word.
 
@@ -38,16 +40,29 @@ PHRASES = {
 #: License notices and the labels of this method.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
+    "apache-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "artistic-2.0": "this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0",
+    "boost-1.0": "distributed under the boost software license version 1 0",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
     "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-4.0": "licensed under cc by 4 0",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
+    "cc0-1.0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "isc-notice": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mit-released": "released under the mit license",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "reserved": "copyright all rights reserved",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib-notice": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
 }
+#: Bytes of templates that may go into an expression.
+MOST_BYTES = 1 << 20
 THRESHOLD = 0.9
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,6 +76,16 @@ def _texts(values) -> Column:
     return F.array(*[F.lit(x) for x in values])
 
 
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """Templates of a table (label, text), lower-cased and cut into words; more than MOST_BYTES are an error. Of rows with one label the first in order counts."""
+    size = table.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("label")), F.lit(0))).first()[0]
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of templates, more than {MOST_BYTES}")
+    words = F.array_join(_words(F.translate("text", UPPER, LOWER)), " ")
+    rows = table.where("label is not null and text is not null").select("label", words.alias("t")).groupBy("label").agg(F.min("t").alias("t")).collect()
+    return {r["label"]: r["t"] for r in rows if r["t"]}
+
+
 def word_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
     """The templates' words, rarest in the documents first."""
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
@@ -73,12 +98,17 @@ def word_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
 def _matches(text: Column, order: list[str], templates: dict[str, str], threshold: float) -> Column:
     """Array of (label, score): the best score of each template that some block meets."""
     rank = {w: i for i, w in enumerate(order)}
-    index = []
-    for label, t in sorted(templates.items()):
+    rows, postings = [], {}
+    for k, (label, t) in enumerate(sorted(templates.items())):
         words = sorted(set(t.split()), key=rank.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
-        index.append(F.struct(F.lit(label).alias("label"), _texts(words).alias("words"), _texts(words[: len(words) - need + 1]).alias("prefix"), F.lit(need).alias("need")))
-    index = F.array(*index)
+        prefix = words[: len(words) - need + 1]
+        rows.append(F.struct(F.lit(label).alias("label"), _texts(words).alias("words"), _texts(prefix).alias("prefix"), F.lit(need).alias("need")))
+        for w in prefix:
+            postings.setdefault(w, []).append(k)
+    index = F.array(*rows)
+    led = sorted(postings, key=rank.__getitem__)
+    lists = F.array(*[F.array(*[F.lit(k) for k in postings[w]]) for w in led])
 
     def against(block: Column) -> Column:
         def candidates(b: Column) -> Column:
@@ -88,7 +118,10 @@ def _matches(text: Column, order: list[str], templates: dict[str, str], threshol
                     lambda w: w.isNotNull() & (F.least(F.size(t["words"]) - F.array_position(t["words"], w), F.size(b) - F.array_position(b, w)) + 1 >= t["need"]),
                 )
 
-            found = F.filter(index, lambda t: (F.size(b) >= t["need"]) & possible(t))
+            # the inverted index: only templates that a word of the block leads to
+            met = F.array_distinct(F.flatten(F.transform(F.array_intersect(b, _texts(led)), lambda w: F.get(lists, (F.array_position(_texts(led), w) - 1).cast("int")))))
+            reached = F.transform(met, lambda k: F.get(index, k))
+            found = F.filter(reached, lambda t: (F.size(b) >= t["need"]) & possible(t))
             scored = F.transform(found, lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(t["words"], b)).alias("common"), t["need"].alias("need"), F.size(t["words"]).alias("n")))
             return F.transform(F.filter(scored, lambda x: x["common"] >= x["need"]), lambda x: F.struct(x["label"].alias("label"), (x["common"] / x["n"]).alias("score")))
 
@@ -101,6 +134,8 @@ def _matches(text: Column, order: list[str], templates: dict[str, str], threshol
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """docs with a struct column license: n_words, places (array of (word, label)), matches (array of (label, score))."""
+    if sum(len(k) + len(t) for k, t in templates.items()) > MOST_BYTES:
+        raise ValueError(f"more than {MOST_BYTES} bytes of templates")
     order = word_order(docs, templates)
     rank = {w: i for i, w in enumerate(order)}
     prefixes = set()
