@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from strandlake.llm import byte_bpe, co_training, jaccard_join, language_id, license_scan, mixing, quality_rules, suffix_dedup, token_file, topk_search
 
@@ -177,6 +179,158 @@ def test_license_scan(spark):
     assert (out[5].n_words, out[5].labels) == (0, "") and out[6].labels == "reserved"
 
 
+def test_license_scan_against_every_template(spark):
+    import re
+
+    r = random.Random(12)
+    vocabulary = sorted({w for t in license_scan.TEMPLATES.values() for w in t.split()}) + WORDS
+    rows = [(1000, None), (1001, ""), (1002, "x" * 50_000)]
+    for i in range(150):
+        lines = []
+        for _ in range(r.randrange(1, 4)):
+            words = list(r.choice(list(license_scan.TEMPLATES.values())).split())
+            for _ in range(r.randrange(0, 3)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            lines.append(r.choice([" ", ", "]).join(w.upper() if r.random() < 0.1 else w for w in words) + r.choice(["", " ".join(r.choice(WORDS) for _ in range(5))]))
+        rows.append((i, r.choice(["\n", "\n\n", " "]).join(lines)))
+    found = {x.doc_id: x for x in license_scan.license_scan(table(spark, rows)).collect()}
+    split = lambda t: [w for w in re.split(license_scan.SEPARATORS, t) if w]
+    for i, text in rows:
+        low = (text or "").translate(str.maketrans(license_scan.UPPER, license_scan.LOWER))
+        words, places = split(low), []
+        for phrase, label in license_scan.PHRASES.items():
+            p = phrase.split()
+            places += [(k, label) for k in range(len(words)) if words[k : k + len(p)] == p]
+        own = set()
+        for block in low.split("\n") + re.split(r"\n[ \t\r]*\n", low):
+            b = set(split(block))
+            own |= {label for label, t in license_scan.TEMPLATES.items() if len(b & set(t.split())) >= math.ceil(license_scan.THRESHOLD * len(set(t.split())) - 1e-9)}
+        x, base = found[i], {label for _, label in places}
+        assert (x.n_words, x.n_base, x.base_labels, x.labels) == (len(words), len(places), ",".join(sorted(base)), ",".join(sorted(base | own))), i
+        assert (x.first_word, x.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+
+
+def test_license_templates_of_a_table(spark):
+    t = spark.createDataFrame([("a", "One, TWO; three four"), ("a", "zzz"), (None, "x"), ("b", None)], "label string, text string")
+    assert license_scan.templates_of(t) == {"a": "one two three four"}
+    with pytest.raises(ValueError):
+        license_scan.templates_of(spark.createDataFrame([("a", "x" * (license_scan.MOST_BYTES + 1))], "label string, text string"))
+
+
+def brute_em(votes, counts):
+    """The same estimates in plain numpy, a vote pattern a row."""
+    v, c = np.array(votes), np.array(counts, float)
+    starts = [(quality_rules.ONE_FROM_GOOD, quality_rules.ONE_FROM_BAD) if n in quality_rules.ONE_SIDED else (quality_rules.FROM_GOOD, quality_rules.FROM_BAD) for n in quality_rules.RULES]
+    good, bad, prior = [list(g) for g, _ in starts], [list(b) for _, b in starts], quality_rules.PRIOR
+    w = quality_rules.WEIGHT
+
+    def posterior():
+        odds = np.full(len(v), math.log(prior / (1 - prior)))
+        for j in range(len(starts)):
+            odds += [math.log(good[j][x + 1] / bad[j][x + 1]) for x in v[:, j]]
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(quality_rules.ROUNDS):
+        q = posterior()
+        prior = min(max((c @ q + w * quality_rules.PRIOR) / (c.sum() + w), 0.05), 0.95)
+        for j, (g, b) in enumerate(starts):
+            for k, x in enumerate(quality_rules.VOTES):
+                at = v[:, j] == x
+                good[j][k] = ((c * q)[at].sum() + w * g[k]) / (c @ q + w)
+                bad[j][k] = ((c * (1 - q))[at].sum() + w * b[k]) / (c @ (1 - q) + w)
+    return posterior()
+
+
+def test_quality_rules_verdict_is_plain_em(spark):
+    rows = [(i, prose(120, i)) for i in range(200)] + [(1000 + i, " ".join(w + "***" for w in prose(120, i).split())) for i in range(20)]
+    rows += [(2000 + i, prose(55, i).upper()) for i in range(15)] + [(3000 + i, "a b c " * 40) for i in range(10)]
+    judged = quality_rules.judge(table(spark, rows)).collect()
+    patterns = Counter(tuple(x.votes) for x in judged)
+    want = dict(zip(patterns, brute_em(list(patterns), list(patterns.values())), strict=True))
+    for x in judged:
+        assert abs(x.p_good - want[tuple(x.votes)]) < 1e-9 and x.kept == (not x.base_failed and x.p_good >= quality_rules.KEEP_FROM)
+    p = quality_rules.estimate(quality_rules.judge(table(spark, rows)))
+    for good, bad in quality_rules.chances(p).values():
+        assert abs(sum(good) - 1) < 1e-9 and abs(sum(bad) - 1) < 1e-9
+
+
+def test_one_noisy_rule_rejects_nothing(spark):
+    # a rule that others don't bear out votes bad on three of ten clean rows
+    good = [1, 0, 0, 0, 1, 1, 0, 0, 1]
+    noisy = [1, 0, 0, 0, 1, 1, -1, 0, 1]
+    junk = [1, -1, 0, -1, 1, -1, 0, 0, -1]
+    voted = spark.createDataFrame([(v,) for v, n in ((good, 700), (noisy, 300), (junk, 80)) for _ in range(n)], "votes array<int>")
+    p = quality_rules.estimate(voted)
+    q = {tuple(x.votes): x.q for x in voted.distinct().select("votes", quality_rules._posterior(F.col("votes"), F.array(*[F.lit(x) for x in p])).alias("q")).collect()}
+    assert q[tuple(good)] > 0.9 and q[tuple(noisy)] > 0.9 and q[tuple(junk)] < 0.1
+
+
+def test_letters_alone_have_a_language(spark):
+    kinds = {"xx": "ba be bi bo bu".split(), "yy": "kra kre kri kro kru".split()}
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice(v) for _ in range(3)) for _ in range(30)), lang, "web") for i in range(80) for lang, v in [sorted(kinds.items())[i % 2]]]
+    odd = [(900, "\u00bd \u00b2 \u2460 \u2167"), (901, "_ 12 ٣"), (902, ""), (903, "\u00bd bababi"), (904, "漢字 漢字")]
+    out = {x.doc_id: x for x in language_id.language_id(table(spark, rows + [(*o, None, "web") for o in odd])).collect()}
+    assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (900, 901, 902))
+    assert out[903].lang_pred == "xx" and out[904].lang_pred in kinds and out[904].rejected and out[904].score <= 0.5
+
+
+def test_a_language_of_long_texts_is_learnt(spark):
+    r = random.Random(3)
+    word = lambda v: "".join(r.choice(v) for _ in range(3))
+    rows = [(i, " ".join(word("ba be bi".split()) for _ in range(30)), "xx", "web") for i in range(40)]
+    rows += [(100 + i, " ".join(word("zo zu za".split()) for _ in range(40_000)), "zz", "web") for i in range(4)]
+    out = language_id.language_id(table(spark, rows + [(500, "zozuza zazozu", None, "web")])).where("doc_id = 500").first()
+    assert out.lang_pred == "zz"
+
+
+def test_calibration_is_inside_its_range():
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(1, 1, (300, 5)), r.normal(-1, 1, (300, 5))]).astype(np.float32)
+    y = np.repeat([1, 0], 300)
+    at = r.permutation(600)
+    x, y = x[at], y[at]
+    view = co_training.Logistic(x[:400], y[:400].astype(np.float32), np.ones(400, np.float32))
+    view.calibrate(x[400:], y[400:])
+    p = 1 / (1 + np.exp(-view.odds(x[400:])))
+    assert 0 < view.a < 20 and abs(view.c) < 10 and abs(p.mean() - y[400:].mean()) < 0.03
+    assert ((p - y[400:]) ** 2).mean() < 0.05
+
+
+def test_repeated_ids_are_fitted_on_once(spark):
+    rows = [(i % 60, prose(60, i) if i % 2 else "|".join(prose(60, i).upper().split()), "en", "web") for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] * 2, LABELS)
+    docs = table(spark, rows).select("doc_id", "text", "source", "lang", "n_chars")
+    a, b = co_training.fit(docs, labels), co_training.fit(docs.repartition(5), labels)
+    assert np.allclose(a.text.w, b.text.w) and a.base == b.base
+
+
+def test_pipeline_stages_on_planted_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = prose(70, 1)
+    rows = [(1, prose(90, 2)), (2, prose(90, 2)), (3, prose(60, 3) + " " + passage), (4, prose(60, 4) + " " + passage), (5, "short"), (6, None)]
+    rows += [(100 + i, prose(100, 50 + i)) for i in range(60)] + [(300 + i, " ".join(w + "###" for w in prose(100, 150 + i).split())) for i in range(8)]
+    table(spark, [(*x, "en", f"s{x[0] % 3}") for x in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path)).cache()
+        assert out.columns == docs.columns, name
+        kept.append({x.doc_id: x.text for x in out.collect()})
+        docs = out
+    quality, near, passages, mixed = kept
+    assert {5, 6}.isdisjoint(quality) and not any(i >= 300 for i in quality) and {1, 2, 3, 4, *range(100, 160)} <= set(quality)
+    assert 1 in near and 2 not in near and set(quality) - set(near) == {2}
+    assert passages[3].count(passage) == 1 and passage not in passages[4] and passages[4].split() == prose(60, 4).split()
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in final} <= set(mixed)
+    for x in final:
+        assert x.n_tokens == len([t for w in regex.findall(public_tokenizers.PATTERN, passages[x.doc_id]) for t in byte_bpe.fold(w.encode(), ranks)])
+        assert x.decoded_sha256 == hashlib.sha256(passages[x.doc_id].encode()).hexdigest()
+
+
 def brute_components(rows, k, percent):
     sets = {i: set(jaccard_join.shingles(t, k).tolist()) for i, t in rows}
     ids = sorted(sets)
