@@ -13,8 +13,8 @@ from strandlake.operators.components import connected_components
 from .registry import query
 from .tables import materialize
 
-#: k-mer length, hashes and least matches of the sketch queries; the engine's defaults are 23, 60 and 6.
-KMER, HASHES, LEAST = 15, 20, 6
+#: k-mer length, hashes and least matches of the sketch queries.
+KMER, HASHES, LEAST = 23, 60, 6
 ALIGN_K, ALIGN_LEAST = 8, 10
 MINIMIZER_K, MINIMIZER_W = 15, 10
 
@@ -252,19 +252,19 @@ def tandem_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.tandem_flags(minimizer_index(spark, sf_dir)).groupBy("read_id").agg(F.count("*").alias("n"), F.sum("tandem").alias("tandem"))
 
 
-SEED_MOST = 20
+SEED_RARE = 0.002
 
 
 @query(
     "seed_join",
-    f"""with {_minimizer_sql()}, rare as (select minimizer from mins group by minimizer having count(*) < {SEED_MOST})
+    f"""with {_minimizer_sql()}, c as (select minimizer, count(*) as n from mins group by minimizer), rare as (select minimizer from c where n < (select percentile_disc({1 - SEED_RARE}) within group (order by n) + 1 from c))
     select q.read_id as query_id, r.read_id, cast(q.strand <> r.strand as int) as rev, count(*) as anchors, min(q.pos) as q_first, max(r.pos) as r_last
     from mins q join mins r using (minimizer) where q.read_id <> r.read_id and minimizer in (select minimizer from rare) group by all""",
 )
 def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors between reads on rare minimizers, summed up by pair and strand."""
+    """Anchors between reads on minimizers below the corpus' own occurrence cut-off, summed up by pair and strand."""
     own = materialize(minimizer_index(spark, sf_dir), "minimizers")
-    met = K.seed_join(own, own, SEED_MOST)
+    met = K.seed_join(own, own, K.occurrence_cutoff(own, SEED_RARE))
     return met.groupBy("query_id", "read_id", "rev").agg(F.count("*").alias("anchors"), F.min("query_pos").alias("q_first"), F.max("ref_pos").alias("r_last"))
 
 
