@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import pairwise as P
+from strandlake.functions import sequences as S
 from strandlake.operators import alignments as A
 from strandlake.operators import archive, consensus
 from strandlake.operators import sketches as K
-from strandlake.sources import files
+from strandlake.sources import converters, files
 
 from .hit_queries import HITS, LINES, hits, lines
 from .registry import query
@@ -179,3 +180,69 @@ def align_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = pairs.join(own.select(F.col("read_id").alias("a"), F.col("seq").alias("x")), "a").join(own.select(F.col("read_id").alias("b"), F.col("seq").alias("y")), "b")
     short = met.where((F.length("x") <= 600) & (F.length("y") <= 600)).select("a", "b", "x", "y")
     return short.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b").mapInArrow(_replayed, "a bigint, b bigint, target string, query string, same boolean, edits bigint")
+
+
+SAMS = "with " + LINES + """, s as (select l_orderkey * 10 + l_linenumber as id, l_suppkey % 4 as t, l_partkey as ts, cast(l_quantity as bigint) as a, l_partkey % 5 + 1 as i, l_suppkey % 7 + 1 as d, l_linenumber % 2 as rev, l_suppkey % 61 as mapq, l_linenumber % 3 as nm from li)"""
+
+
+@query("sam2paf", SAMS + """ select cast(id as varchar) as qname, a + i + 18 as qlen, case when rev = 1 then 3 else 5 end as qstart, case when rev = 1 then 3 else 5 end + a + i + 10 as qend, case when rev = 1 then '-' else '+' end as strand,
+  't' || t as tname, 5000 + t as tlen, ts as tstart, ts + a + d + 10 as tend, a + i + d + 10 - nm as nmatch, a + i + d + 10 as blen, mapq, a || 'M' || i || 'I' || d || 'D10M' as cigar from s""")
+def sam2paf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments written as SAM, read with the lengths of their header, as PAF."""
+    t = lines(spark, sf_dir)
+    s = lambda c: c.cast("string")
+    a, i, d = F.col("l_quantity").cast("bigint"), F.col("l_partkey") % 5 + 1, F.col("l_suppkey") % 7 + 1
+    cigar = F.concat(F.lit("5S"), s(a), F.lit("M"), s(i), F.lit("I"), s(d), F.lit("D10M3H"))
+    row = F.concat_ws("\t", s(F.col("l_orderkey") * 10 + F.col("l_linenumber")), s(F.col("l_linenumber") % 2 * 16), F.concat(F.lit("t"), s(F.col("l_suppkey") % 4)), s(F.col("l_partkey") + 1), s(F.col("l_suppkey") % 61), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.concat(F.lit("NM:i:"), s(F.col("l_linenumber") % 3)))
+    head = spark.range(4).select(F.concat(F.lit("@SQ\tSN:t"), s(F.col("id")), F.lit("\tLN:"), s(F.col("id") + 5000)).alias("value"))
+    path = new_path(spark, "sam")
+    t.select(row.alias("value")).unionByName(head).write.text(path)
+    rows, lengths = files.sam(spark, path)
+    return converters.sam_to_paf(rows, lengths).drop("tp")
+
+
+@query("gff2bed", "with " + LINES + """, e as (select distinct 'c' || l_orderkey % 3 as ctg, 'tx' || l_orderkey as name, case when l_orderkey % 2 = 1 then '-' else '+' end as strand, l_linenumber * 100 as st, l_linenumber * 100 + cast(l_quantity as bigint) as en from li)
+  select ctg, min(st) as st, max(en) as en, name, 1000 as score, strand, count(*) as n_blocks, string_agg(cast(en - st as varchar), ',' order by st, en) || ',' as sizes, string_agg(cast(st - lo as varchar), ',' order by st, en) || ',' as starts
+  from (select *, min(st) over (partition by ctg, name, strand) as lo from e) group by ctg, name, strand""")
+def gff2bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exons of annotation rows as a row of blocks a transcript."""
+    t = lines(spark, sf_dir)
+    s = lambda c: c.cast("string")
+    st = F.col("l_linenumber") * 100
+    row = F.concat_ws("\t", F.concat(F.lit("c"), s(F.col("l_orderkey") % 3)), F.lit("src"), F.lit("exon"), s(st + 1), s(st + F.col("l_quantity").cast("bigint")), F.lit("."), F.when(F.col("l_orderkey") % 2 == 1, "-").otherwise("+"), F.lit("."), F.concat(F.lit('gene_id "g"; transcript_id "tx'), s(F.col("l_orderkey")), F.lit('";')))
+    path = _written(t.withColumn("value", row), ["l_orderkey"], "gtf")
+    return converters.annotations_to_bed(converters.annotations(spark, path))
+
+
+@query("interleaved_mates", f"with {DENSE} select read_id, m as mate, name || '/' || (m + 1) as name, case when m = 0 then seq else translate(reverse(seq), 'ACGT', 'TGCA') end as seq from d, (select unnest([0, 1]) as m)")
+def interleaved_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of mates read in turn."""
+    own = reads(spark, sf_dir).where("seq <> ''")
+    paths = []
+    for k, seq in enumerate((F.col("seq"), S.reverse_complement(F.col("seq")))):
+        text = F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit(f"/{k + 1}\n"), seq, F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))
+        path = new_path(spark, f"mates-{k}") + ".fastq"
+        own.withColumn("value", text).repartitionByRange("read_id").sortWithinPartitions("read_id").select("value").write.text(path)
+        paths.append(path)
+    return files.interleaved(spark, paths)
+
+
+@query("mini_batches", f"with {DENSE}, b as (select *, coalesce(sum(len(seq)) over (order by read_id rows between unbounded preceding and 1 preceding), 0) as before from d) select read_id, name, seq, cast(before // 50000 as bigint) as batch from b")
+def mini_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads dealt into batches of a number of bases, in order."""
+    return files.mini_batches(ordered(spark, sf_dir), 50_000, block=100)
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with dense ids in order of their own."""
+    own = reads(spark, sf_dir).where("seq <> ''")
+    return own.join(archive.dictionary(own, "read_id"), "read_id").select(F.col("id").alias("read_id"), F.col("read_id").cast("string").alias("name"), "seq")
+
+
+@query("unmapped_rows", f"with {PAF_SQL}, a as (select qname from pf union all select 'x' || q from h where id = 1) select qname, count(*) as n from a group by qname")
+def unmapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and a row for each query without one."""
+    own = _paf(spark, sf_dir)
+    lost = hits(spark, sf_dir).where("id = 1").select(F.concat(F.lit("x"), F.col("q").cast("string")).alias("qname"), F.lit(9000).alias("qlen"))
+    every = files.with_unmapped(own, own.select("qname", "qlen").distinct().unionByName(lost))
+    return every.groupBy("qname").agg(F.count("*").alias("n"))

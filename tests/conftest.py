@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from strandlake.plans.tables import clean_up
+
+    clean_up(session)
     session.stop()
