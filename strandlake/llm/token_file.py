@@ -190,7 +190,8 @@ def token_file(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFra
     read = spark.read.schema(_SCHEMA).parquet(path).select("doc_id", "tokens", F.col("_metadata.file_name").alias("file"))
     back = read.mapInArrow(_sums, "doc_id bigint, file string, n_tokens bigint, ids_crc32 bigint")
     totals = spark.read.schema(_SCHEMA).parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = back.withColumn("at", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
