@@ -28,10 +28,10 @@ BLOCKS = """bl0 as (select *, lag(qe) over (partition by q order by qs, qe, ts,
   bk as (select *, case when lag(qe) over w is null then null when lag(t) over w = t and lag(strand) over w = strand then abs(qs - lag(qe) over w - case when strand = '+' then ts - lag(te) over w else lag(ts) over w - te end) else 1000000000 end as gap from bl window w as (partition by q order by qs, qe, ts, te))"""
 
 
-@query("ngx", "with l as (select n_chars as len, sum(n_chars) over (order by n_chars desc, doc_id rows unbounded preceding) as cum from documents), s as (select unnest([0.25, 0.5, 0.75]) as share) select cast(share as double) as share, max(len) filter (where cum > share * 1500000) as n from s, l group by share")
+@query("ngx", "with l as (select n_chars as len, sum(n_chars) over (order by n_chars desc, doc_id rows unbounded preceding) as cum from documents), s as (select unnest([0.25, 0.5, 0.75]) as share) select cast(share as double) as share, max(len) filter (where cum > share * 300000) as n from s, l group by share")
 def ngx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NG25, NG50 and NG75 for a reference of a stated length."""
-    return A.ngx(lengths_of(spark, sf_dir), 1_500_000, [0.25, 0.5, 0.75])
+    return A.ngx(lengths_of(spark, sf_dir), 300_000, [0.25, 0.5, 0.75])
 
 
 @query("aunga", "with l as (select n_chars as len, coalesce(sum(n_chars) over (order by n_chars desc, doc_id rows between unbounded preceding and 1 preceding), 0) as cum from documents), c as (select greatest(least(len, 1500000 - cum), 0) as x from l) select sum(cast(x as double) * x / 1500000) as area from c")
