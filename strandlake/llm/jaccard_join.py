@@ -54,6 +54,8 @@ NGRAM, PERCENT = 3, 90
 SPARE = 2
 #: A key in more than this share of the nodes (and SEEN of the sample) is hot; one node in SAMPLE is in the sample.
 HOT, SEEN, SAMPLE = 0.001, 20, 64
+#: Tasks over which a hot key's nodes are dealt.
+SALTS = 64
 #: Nodes in a block of a candidate group.
 BLOCK = 400
 #: In the cost of lists: what scanning a list costs, before it halves with each shingle in its key.
@@ -285,6 +287,15 @@ def _shared(entries: DataFrame, hot: DataFrame) -> DataFrame:
     return cold.unionByName(warm).where("least <> most").drop("most")
 
 
+def _met(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """Entries whose key another node has, too, from one pass over them: a hot key's, known to be met, are dealt over SALTS tasks."""
+    tagged = entries.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    salted = tagged.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0))
+    lists = Window.partitionBy("key", "salt")
+    both = salted.withColumn("least", F.min("node").over(lists)).withColumn("most", F.max("node").over(lists))
+    return both.where(F.col("hot") | (F.col("least") != F.col("most"))).select(*entries.columns)
+
+
 def _stars(nodes: DataFrame) -> DataFrame:
     """(node, least): the lists' members that can have a link, with their list's least one. nodes: node, keys, counts, needs."""
     part = F.expr("explode(filter(transform(counts, (n, i) -> struct(i as part, needs[i] as need, slice(keys, cast(aggregate(slice(counts, 1, i), 0, (a, b) -> a + b) as int) + 1, n) as keys)), p -> size(p.keys) > 0))")
@@ -294,7 +305,7 @@ def _stars(nodes: DataFrame) -> DataFrame:
     seen = max(SEEN, HOT * sample.select("node").distinct().count())
     hot = materialize(sample.groupBy("key").count().where(F.col("count") >= seen).select("key"), "hot-keys")
     enough = F.count("*").over(Window.partitionBy("node", "part")) >= F.col("need")
-    alive = _shared(entries, hot).drop("least").withColumn("enough", enough).where("enough").drop("enough")
+    alive = _met(entries, hot).withColumn("enough", enough).where("enough").drop("enough")
     return _shared(materialize(alive, "alive"), hot).select("node", "least").where("node <> least")
 
 
