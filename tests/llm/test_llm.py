@@ -602,3 +602,21 @@ def test_top_k_over_shards_with_copies_and_rows_without_an_id(spark, monkeypatch
 def test_ranks_file_is_read():
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     assert len(ranks) > 50_000 and base64.b64encode(b"!") and ranks[b"!"] == 0
+
+
+def test_language_ngrams_are_looked_up_once(monkeypatch):
+    looked = []
+    plain = language_id.Model.entropies
+    monkeypatch.setattr(language_id.Model, "entropies", lambda self, codes, depth: (looked.append(len(codes)), plain(self, codes, depth))[1])
+    own = language_id.train([("en", "the running of the singing and the bringing")])
+    words = [f"{a}{b}inging" for a in "bcdfgklmprst" for b in "aeiou"]
+    sums = own.sums([" ".join(words)])[0]
+    # a row a character would be 9 for each of the 60 words
+    assert looked[-1] < 60 * 9 / 2 and sums[0] == 60 * 9
+    alone = sum(language_id.train([("en", "the running of the singing and the bringing")]).sums([w])[0][1] for w in words)
+    assert abs(sums[1] - alone) < 1e-6
+
+
+def test_language_words_without_numerals():
+    assert language_id.words_of("Ab½cd ²x ⅷ Straße 9_z 一") == ["ab", "cd", "x", "straße", "z", "一"]
+    assert language_id.words_of(None) == [] == language_id.words_of("½ ²")
