@@ -620,3 +620,18 @@ def test_language_ngrams_are_looked_up_once(monkeypatch):
 def test_language_words_without_numerals():
     assert language_id.words_of("Ab½cd ²x ⅷ Straße 9_z 一") == ["ab", "cd", "x", "straße", "z", "一"]
     assert language_id.words_of(None) == [] == language_id.words_of("½ ²")
+
+
+def test_search_build_frees_what_it_is_done_with():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [prose(400, s) for s in range(1500)]
+    rows = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "shard": pa.array([0] * len(texts), pa.int64())})
+    topk_search.build(rows.slice(0, 10))
+    tracemalloc.start()
+    made = topk_search.build(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.num_rows == 1 and peak < 36 * 400 * len(texts), peak / (400 * len(texts))
