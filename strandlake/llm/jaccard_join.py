@@ -36,18 +36,19 @@ links to another's. Very long texts are sets like others. Empty tables give empt
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.components import connected_components
 
-from .common import discard, materialize
+from .common import discard, forget, materialize
 
 NGRAM, PERCENT = 3, 90
 #: Groups of shingles that may be empty in a set without leaving its lists, at least.
@@ -56,6 +57,8 @@ SPARE = 2
 HOT, SEEN, SAMPLE = 0.001, 20, 64
 #: Tasks over which a hot key's nodes are dealt.
 SALTS = 64
+#: Passes, each over its share of the nodes or of the keys: their shuffle files stand on disk one pass at a time.
+PASSES = 4
 #: Nodes in a block of a candidate group.
 BLOCK = 400
 #: In the cost of lists: what scanning a list costs, before it halves with each shingle in its key.
@@ -296,6 +299,12 @@ def _met(entries: DataFrame, hot: DataFrame) -> DataFrame:
     return both.where(F.col("hot") | (F.col("least") != F.col("most"))).select(*entries.columns)
 
 
+def in_passes(column: str, of: Callable[[Column], DataFrame], name: str, passes: int = PASSES) -> DataFrame:
+    """of(a share of the values of a column) for each share, written one after the other: all rows, in tables of their own."""
+    share = F.pmod(F.xxhash64(column, F.lit(13)), F.lit(passes))
+    return reduce(DataFrame.unionByName, [materialize(of(share == p), name) for p in range(passes)])
+
+
 def _stars(nodes: DataFrame) -> DataFrame:
     """(node, least): the lists' members that can have a link, with their list's least one. nodes: node, keys, counts, needs."""
     part = F.expr("explode(filter(transform(counts, (n, i) -> struct(i as part, needs[i] as need, slice(keys, cast(aggregate(slice(counts, 1, i), 0, (a, b) -> a + b) as int) + 1, n) as keys)), p -> size(p.keys) > 0))")
@@ -305,7 +314,9 @@ def _stars(nodes: DataFrame) -> DataFrame:
     seen = max(SEEN, HOT * sample.select("node").distinct().count())
     hot = materialize(sample.groupBy("key").count().where(F.col("count") >= seen).select("key"), "hot-keys")
     enough = F.count("*").over(Window.partitionBy("node", "part")) >= F.col("need")
-    alive = _met(entries, hot).withColumn("enough", enough).where("enough").drop("enough")
+    # each pass keeps the entries that other nodes have, too: few of all
+    met = in_passes("key", lambda own: _met(entries.where(own), hot), "met")
+    alive = met.withColumn("enough", enough).where("enough").drop("enough")
     return _shared(materialize(alive, "alive"), hot).select("node", "least").where("node <> least")
 
 
@@ -317,7 +328,8 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     keyed = materialize(own.mapInArrow(_keyed(ngram, percent), "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>, counts array<int>, needs array<int>"), "shingle-keys")
 
     # one row a node; copies meet in the partial aggregate. From here on rows need no keys
-    nodes = materialize(keyed.where("node is not null").groupBy("node").agg(F.min(F.struct("keys", "counts", "needs")).alias("x")).select("node", "x.*"), "node-keys")
+    sets_of = keyed.where("node is not null")
+    nodes = in_passes("node", lambda own: sets_of.where(own).groupBy("node").agg(F.min(F.struct("keys", "counts", "needs")).alias("x")).select("node", "x.*"), "node-keys")
     full, keyed = keyed, materialize(keyed.drop("keys", "counts", "needs"), "shingle-nodes")
     discard(full)
     stars = _stars(nodes)
@@ -326,6 +338,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     pairs = met.select(F.when(F.col("least") == F.col("first"), F.col("node")).otherwise(F.col("least")).alias("node"), "first").distinct()
     candidates = connected_components(pairs, "node", "first")
     discard(nodes)
+    forget(spark)
 
     # the candidates' sets, made again from their texts, so that no set is stored for documents without any partner
     sized = candidates.groupBy("component").agg(F.count("*").alias("size"))
@@ -357,6 +370,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     others = keyed.join(same.select("doc_id", "src"), "doc_id").select("src", F.col("node").alias("dst")).where("dst is not null")
     every = materialize(links.unionByName(more).unionByName(others).where("src <> dst"), "links")
     discard(candidates, sets, links, first)
+    forget(spark)
 
     component = connected_components(every)
     discard(every)

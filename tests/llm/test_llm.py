@@ -635,3 +635,15 @@ def test_search_build_frees_what_it_is_done_with():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert made.num_rows == 1 and peak < 36 * 400 * len(texts), peak / (400 * len(texts))
+
+
+def test_jaccard_keys_go_in_passes(spark, monkeypatch):
+    written = []
+    plain = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name, **kw: (written.append(name), plain(df, name, **kw))[1])
+    own = [prose(60, s) for s in range(40)]
+    rows = [(i, t) for i, t in enumerate(own)] + [(100 + i, t + " extra") for i, t in enumerate(own[:20])] + [(200, own[0]), (None, own[1])]
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table(spark, rows)).collect() if r.doc_id is not None}
+    assert found == {i: i for i in range(40)} | {100 + i: i for i in range(20)} | {200: 0}
+    # no single shuffle holds all keys
+    assert written.count("node-keys") == written.count("met") == jaccard_join.PASSES > 1
