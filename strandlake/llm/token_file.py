@@ -8,8 +8,8 @@ pages, and one that asks for metadata never touch the tokens.
 
 Encoding: as the library encodes whole texts without adding special tokens; strings of special tokens
 within a text become those tokens, as it does by default. The tokenizer drops white space and never merges over it, so each run of other characters
-is encoded by the library once and remembered, in a store in each Python worker that is emptied when
-it passes REMEMBERED runs. New runs go to the library as one text, cut
+is encoded by the library once and remembered, in a store in each Python worker that holds at most
+about REMEMBERED runs: those met since it was last half full, and those met in the half before. New runs go to the library as one text, cut
 where the tokenizer cuts: an id that ends a word tells where a part stops.
 Python sees one Arrow batch at a time, of at most BATCH_ROWS documents.
 
@@ -52,6 +52,8 @@ class RunEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # the half of the store before this one: what is met again moves on, the rest goes with it
+        self.older: dict[str, bytes] = {}
         # strings that the library takes out of a text before it cuts it: texts that hold one go to it whole
         self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         model = json.loads(self.tokenizer.to_str())["model"]
@@ -75,15 +77,23 @@ class RunEncoder(dict):
     def learn(self, runs: list[str]) -> None:
         """Puts new runs into the store."""
         whole, cut, parts = [], {}, set()
+        older = self.older.get
         for r in runs:
-            if r.isalpha() and (r.isascii() or _PLAIN(r)):
+            if (known := older(r)) is not None:
+                self[r] = known
+            elif r.isalpha() and (r.isascii() or _PLAIN(r)):
                 parts.add(r)
             elif r.isprintable() and _PLAIN(r):
                 cut[r] = p = _PARTS(r)
                 parts.update(p)
             elif r:
                 whole.append(r)
-        todo = [p for p in parts if p not in self]
+        todo = []
+        for p in parts:
+            if (known := older(p)) is not None:
+                self[p] = known
+            elif p not in self:
+                todo.append(p)
         for first in range(0, len(todo), TOGETHER):
             some = todo[first : first + TOGETHER]
             self.update(zip(some, self._parts(some), strict=True))
@@ -95,7 +105,8 @@ class RunEncoder(dict):
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        if len(self) > self.most:
+        if len(self) > self.most // 2:
+            self.older = dict(self)
             self.clear()
         plain = [self._plain(t or "") for t in texts]
         split = pa.compute.split_pattern(pa.array([p or "" for p in plain], pa.string()), " ")
