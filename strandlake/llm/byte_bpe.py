@@ -61,6 +61,10 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
 
+#: Arrays of the rank map, see Encoder.
+_TABLES = ("shifts", "entries", "first")
+
+
 class Encoder:
     """Expressions for one rank file."""
 
@@ -106,7 +110,12 @@ class Encoder:
 
     def tables(self) -> Column:
         """The rank map as one literal struct: a plan names it once, and lambdas refer to it."""
-        return F.struct(_ints(self.shifts, "bigint").alias("shifts"), _ints(self.entries, "bigint").alias("entries"), _ints(self.first, "bigint").alias("first"))
+        return F.struct(*(_ints(getattr(self, x), "bigint").alias(x) for x in _TABLES))
+
+    def with_tables(self, df: DataFrame) -> DataFrame:
+        """df and the rank map as its column `tables`, a scalar subquery: a projection on top takes it in, so no row carries it."""
+        row = pa.table({x: pa.array([getattr(self, x)], pa.list_(pa.int64())) for x in _TABLES})
+        return df.withColumn("tables", df.sparkSession.createDataFrame(row).select(F.struct(*_TABLES)).scalar())
 
     def rank(self, m: Column, key: Column) -> Column:
         """Rank of the pair with this key by the tables m, or `none`; also for a null key."""
@@ -142,9 +151,15 @@ class Encoder:
         start = F.transform(word, lambda x, j: F.get(m["first"], x * 257 + F.coalesce(F.get(word, j + 1), F.lit(256))) + j * self.none)
         return F.aggregate(word, start, step, lambda s: F.transform(s, token))
 
-    def ids_texts(self, words: Column) -> Column:
-        """Ids, in decimal and joined by blanks, of each of an array of words that are arrays of bytes."""
-        return _given(self.tables(), lambda m: F.transform(words, lambda w: F.array_join(self.fold(m, w).cast("array<string>"), " ")))
+    def ids_texts(self, words: Column, tables: Column | None = None) -> Column:
+        """Ids, in decimal and joined by blanks, of each of an array of words that are arrays of bytes. tables: the column of with_tables(), else literals."""
+        own = self.tables() if tables is None else tables
+
+        def texts(m: Column) -> Column:
+            return F.transform(words, lambda w: F.array_join(self.fold(m, w).cast("array<string>"), " "))
+
+        # taken apart once: the row that a subquery gives would make an array anew at each lookup
+        return _given(own, lambda t: _given(F.struct(*(t[x].alias(x) for x in _TABLES)), texts))
 
     @staticmethod
     def bytes_of(word: Column) -> Column:
@@ -162,9 +177,10 @@ def common_words(docs: DataFrame, encoder: Encoder, most: int = COMMON_WORDS, sa
     picked = docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
     words = picked.select(F.explode(encoder.words(F.col("text"))).alias("w")).where(F.length("w") <= 32)
     top = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most).select("w")
-    # from a table of their own: the one plan that holds the literals then is a scan, a projection and no more
+    # from a table of their own: the one plan that reads the rank map then is a scan, a projection and no more
     tasks = max(1, min(64, docs.sparkSession.sparkContext.defaultParallelism * 2))
-    return materialize(top.repartition(tasks), "common-words").select("w", encoder.ids_texts(F.array(encoder.bytes_of(F.col("w"))))[0].alias("ids")).toArrow()
+    found = encoder.with_tables(materialize(top.repartition(tasks), "common-words"))
+    return found.select("w", encoder.ids_texts(F.array(encoder.bytes_of(F.col("w"))), F.col("tables"))[0].alias("ids")).toArrow()
 
 
 class Numbers(dict):
@@ -290,8 +306,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = C
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    numbered = texts.mapInArrow(first, _NUMBERED)
-    return numbered.withColumn("fresh", encoder.ids_texts(F.col("fresh"))).mapInArrow(last, _ENCODED)
+    numbered = encoder.with_tables(texts.mapInArrow(first, _NUMBERED))
+    folded = numbered.select("doc_id", "anew", "words", encoder.ids_texts(F.col("fresh"), F.col("tables")).alias("fresh"), "long")
+    return folded.mapInArrow(last, _ENCODED)
 
 
 def encode_native(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -74,3 +74,14 @@ def test_digests_of_rare_words(spark):
     for r in byte_bpe.byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect():
         assert r.ids_sha256 == hashlib.sha256(text_ids(texts[r.doc_id]).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_plans_dont_hold_the_rank_map(spark):
+    # some 250,000 numbers: as literals their text stays in the driver and the event log with each plan
+    docs = spark.createDataFrame([(1, "glorf brumpf")], "doc_id bigint, text string")
+    encoded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    plan = encoded._jdf.queryExecution()
+    assert len(plan.toString()) < 100_000
+    # and no row carries it: the projection with the fold stands on the split itself
+    assert plan.executedPlan().toString().count("Project [") == 1
+    assert encoded.first().ids == text_ids("glorf brumpf")
