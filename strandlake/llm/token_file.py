@@ -9,8 +9,8 @@ pages, and one that asks for metadata never touch the tokens.
 Encoding: as the library encodes whole texts without adding special tokens; strings of special tokens
 within a text become those tokens, as it does by default. The tokenizer drops white space and never merges over it, so each run of other characters
 is encoded by the library once and remembered, in a store in each Python worker that holds at most
-about REMEMBERED runs: those met since it was last half full, and those met in the half before. New runs go to the library as one text, cut
-where the tokenizer cuts: an id that ends a word tells where a part stops.
+about REMEMBERED runs: those met since it was last half full, and those met in the half before. Plain new runs are cut where
+the tokenizer cuts, and each part goes to the library's model alone: normalising and cutting it once more would cost more than its merges.
 Python sees one Arrow batch at a time, of at most BATCH_ROWS documents.
 
 Order: documents are dealt by ranges of doc_id and sorted within them, so hot values of other columns
@@ -23,7 +23,6 @@ the same doc_id are ordered by length, then text. An empty table gives an empty
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,9 +37,7 @@ from .common import new_path
 
 END_ID = 2
 #: Runs remembered by a Python worker; documents in a batch; bytes of a row group and of a page.
-REMEMBERED, BATCH_ROWS, ROW_GROUP, PAGE = 600_000, 512, 32 << 20, 256 << 10
-#: New runs that go to the library as one text.
-TOGETHER = 500
+REMEMBERED, BATCH_ROWS, ROW_GROUP, PAGE = 1_000_000, 1024, 32 << 20, 256 << 10
 
 _SCHEMA = "doc_id bigint, n_tokens bigint, crc bigint, tokens array<int>"
 
@@ -49,54 +46,54 @@ class RunEncoder(dict):
     """Run of characters without white space -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str, most: int = REMEMBERED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         # the half of the store before this one: what is met again moves on, the rest goes with it
         self.older: dict[str, bytes] = {}
         # strings that the library takes out of a text before it cuts it: texts that hold one go to it whole
         self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        model = json.loads(self.tokenizer.to_str())["model"]
-        suffix = model["end_of_word_suffix"]
-        self.ends = np.zeros(max(model["vocab"].values()) + 3, bool)
-        if suffix:
-            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        # the model sees bytes, each as a letter: letters of plain runs beyond ASCII are two of them
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelled(chr(c))[0][0] for c in range(0x80, 0x100)}
+        self.merged = self.tokenizer.model.tokenize
+        probe = [*(c for c in map(chr, range(0x100)) if _PLAIN(c)), "wordword", "stra\u00dfe", "\u00e9t\u00e9", "!?", "..."]
+        if self._parts(probe) != list(map(self._run, probe)):  # another kind of tokenizer
+            self._parts = lambda parts: list(map(self._run, parts))
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that the tokenizer never joins: as one text, cut after each id that ends a part."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(parts):
-            return [self._run(w) for w in parts]
-        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        """Ids of plain parts, each a word of the model."""
+        ids, at = [], [0]
+        for found in map(self.merged, " ".join(parts).translate(self.spelling).split(" ")):
+            ids += [t.id for t in found]
+            at.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _run(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, runs: list[str]) -> None:
-        """Puts new runs into the store."""
-        whole, cut, parts = [], {}, set()
+        """Puts new runs, each named once, into the store."""
+        whole, cut, parts, todo = [], {}, set(), []
         older = self.older.get
         for r in runs:
             if (known := older(r)) is not None:
                 self[r] = known
             elif r.isalpha() and (r.isascii() or _PLAIN(r)):
-                parts.add(r)
+                todo.append(r)
             elif r.isprintable() and _PLAIN(r):
                 cut[r] = p = _PARTS(r)
                 parts.update(p)
             elif r:
                 whole.append(r)
-        todo = []
-        for p in parts:
+        for p in parts.difference(todo):
             if (known := older(p)) is not None:
                 self[p] = known
             elif p not in self:
                 todo.append(p)
-        for first in range(0, len(todo), TOGETHER):
-            some = todo[first : first + TOGETHER]
-            self.update(zip(some, self._parts(some), strict=True))
+        if todo:
+            self.update(zip(todo, self._parts(todo), strict=True))
         for r, p in cut.items():
             self[r] = b"".join(map(self.__getitem__, p))
         for r in whole:
