@@ -114,3 +114,33 @@ def test_few_anchors_are_scored_as_many_are():
         t, q = np.array([x for x, _ in at]), np.array([y for _, y in at])
         for a, b in zip(mapping._scored(q, t, 13, p), mapping._scored_few(q.tolist(), t.tolist(), 13, p), strict=True):
             assert a.tolist() == b.tolist()
+
+
+def documents(tmp_path, rows):
+    """A folder with a documents table of (doc_id, text)."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}), tmp_path / "documents.parquet")
+    return str(tmp_path)
+
+
+def test_replay_of_reads_of_any_length_equals_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from strandlake.plans import catalog
+
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    changed = lambda w: "".join(c if r.random() > 0.01 else r.choice(["", c + "A", "G"]) for c in w)
+    long, short = word(900), word(200)
+    # long and short ones, copies, an id of two reads, an id of a read and of none
+    rows = [(1, long), (2, changed(long)), (3, long), (4, changed(long) + word(300)), (5, short), (6, changed(short)), (6, changed(short)), (7, short), (7, None), (None, long), (8, None), (9, "")]
+    sf = documents(tmp_path, rows)
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    key = lambda t: tuple((v is None, v) for v in t)
+    wanted = sorted(db.execute(catalog.ORACLE["align_replay"]).fetchall(), key=key)
+    monkeypatch.setattr(probes, "TEXT_BYTES", 3_000)
+    found = sorted(map(tuple, catalog.QUERIES["align_replay"](spark, sf).collect()), key=key)
+    assert found == wanted and sum(len(t[3] or "") > 600 for t in found) >= 6 and any(t[5] is None for t in found)
