@@ -144,3 +144,35 @@ def test_replay_of_reads_of_any_length_equals_sql(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(probes, "TEXT_BYTES", 3_000)
     found = sorted(map(tuple, catalog.QUERIES["align_replay"](spark, sf).collect()), key=key)
     assert found == wanted and sum(len(t[3] or "") > 600 for t in found) >= 6 and any(t[5] is None for t in found)
+
+
+def test_least_operations_of_letters_as_bits():
+    from strandlake.functions import extension
+
+    r = random.Random(4)
+    for n, m in [(0, 0), (0, 5), (7, 0), (1, 1), (3, 70), (70, 3), (64, 64), (200, 150), (400, 400)]:
+        for letters in ("AC", "ACGT", "ACGTé"):
+            x, y = ("".join(r.choice(letters) for _ in range(k)) for k in (n, m))
+            least = extension.edit_ops(*(np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (x, y)))
+            for bits in (1, 3_000, 200_000_000):
+                ops = extension.least_ops(x, y, bits)
+                assert len(ops) - ops.count("=") == len(least) - least.count("u")
+                i = j = 0
+                for op in ops:
+                    assert op in "ID" or (x[i] == y[j]) == (op == "=")
+                    i, j = i + (op != "D"), j + (op != "I")
+                assert (i, j) == (n, m)
+
+
+def test_long_alike_reads_are_aligned_in_little_time():
+    import time
+
+    from strandlake.plans.file_queries import replayed
+
+    r = random.Random(9)
+    x = "".join(r.choice("ACGT") for _ in range(5_000))
+    y = "".join(c if r.random() > 0.1 else r.choice(["", c + "A", "G"]) for c in x)
+    began = time.process_time()
+    assert replayed(x, y)[:3] == (y, x, True)
+    # 0.06 s; 6.2 s with two tables, a vector of numbers a letter
+    assert time.process_time() - began < 0.6
