@@ -176,3 +176,44 @@ def test_long_alike_reads_are_aligned_in_little_time():
     assert replayed(x, y)[:3] == (y, x, True)
     # 0.06 s; 6.2 s with two tables, a vector of numbers a letter
     assert time.process_time() - began < 0.6
+
+
+def test_chains_in_blocks_equal_chains_of_shuffled_anchors(spark, monkeypatch):
+    from strandlake.operators import mapping
+    from strandlake.plans.presets import Preset
+
+    p = Preset(k=9, w=4, min_count=3, min_score=30, max_gap=60, band=40)
+    r = random.Random(14)
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    own = [(x.read_id, x.seq) for x in reads(spark, 60).collect()]
+    repeat = "".join(r.choice("ACGT") for _ in range(30))
+    own += [(1000, turn(own[4][1])), (1001, repeat * 6), (1002, turn(repeat * 4) + own[5][1]), (1003, own[6][1][:60] + "".join(r.choice("ACGT") for _ in range(150)) + own[6][1][60:])]
+    every = spark.createDataFrame(own, "read_id bigint, seq string")
+    asked = every.where("read_id % 3 = 1")
+    index = materialize(sketches.minimizers(every, p.k, p.w), "index")
+    seeds = sketches.minimizers(asked, p.k, p.w)
+    wanted = mapping.chains(mapping.oriented(sketches.seed_join(seeds, index, 10_000), asked, p.k), p.k, p)
+    sizes = asked.select("read_id", F.length("seq").alias("n"))
+    places = seeds.join(sizes, "read_id").select("read_id", "minimizer", "pos", "strand", (F.col("n") - F.col("pos") - p.k).alias("turned"))
+    monkeypatch.setattr(probes, "ANCHOR_ROWS", 300)
+    monkeypatch.setattr(probes, "MEETINGS", 500)
+    found = mapping.block_chains(probes.by_read(index, "targets"), probes.by_read(places, "queries"), p.k, p, True)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect())) and found.where("rev = 1").count() > 5 and found.count() > 100
+    # before, each anchor was shuffled and each pair was a table of its own
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_anchors_of_few_places_are_chained_in_little_time():
+    import time
+
+    from strandlake.operators import mapping
+    from strandlake.plans.presets import Preset
+
+    p = Preset(k=13, w=5, min_count=4, min_score=60, max_gap=200, band=100)
+    at = np.arange(0, 1_000, 10)
+    r, q = np.repeat(at, len(at)), np.tile(at, len(at))
+    began = time.process_time()
+    score, parent = mapping._scored(q, r, 13, p)
+    assert score.max() == 13 + 99 * 10 and parent[0] == -1
+    # 0.16 s; with a vector an anchor 0.87 s
+    assert time.process_time() - began < 0.5
