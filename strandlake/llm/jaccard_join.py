@@ -57,8 +57,8 @@ SPARE = 2
 HOT, SEEN, SAMPLE = 0.001, 20, 64
 #: Tasks over which a hot key's nodes are dealt.
 SALTS = 64
-#: Passes, each over its share of the nodes or of the keys: their shuffle files stand on disk one pass at a time.
-PASSES = 4
+#: Passes, each over its share of the nodes or of the keys: their shuffle files, and what sorts spill, stand on disk one pass at a time. At least PASSES, and so many that a pass has the keys of at most about PASS_BYTES of text.
+PASSES, PASS_BYTES = 4, 400_000_000
 #: Nodes in a block of a candidate group.
 BLOCK = 400
 #: In the cost of lists: what scanning a list costs, before it halves with each shingle in its key.
@@ -305,7 +305,12 @@ def in_passes(column: str, of: Callable[[Column], DataFrame], name: str, passes:
     return reduce(DataFrame.unionByName, [materialize(of(share == p), name) for p in range(passes)])
 
 
-def _stars(nodes: DataFrame) -> DataFrame:
+def passes_for(size: int) -> int:
+    """Passes over the keys of so many bytes of text."""
+    return max(PASSES, -(-size // PASS_BYTES))
+
+
+def _stars(nodes: DataFrame, passes: int = PASSES) -> DataFrame:
     """(node, least): the lists' members that can have a link, with their list's least one. nodes: node, keys, counts, needs."""
     part = F.expr("explode(filter(transform(counts, (n, i) -> struct(i as part, needs[i] as need, slice(keys, cast(aggregate(slice(counts, 1, i), 0, (a, b) -> a + b) as int) + 1, n) as keys)), p -> size(p.keys) > 0))")
     entries = nodes.select("node", part.alias("p")).select("node", "p.part", "p.need", F.explode("p.keys").alias("key"))
@@ -315,7 +320,7 @@ def _stars(nodes: DataFrame) -> DataFrame:
     hot = materialize(sample.groupBy("key").count().where(F.col("count") >= seen).select("key"), "hot-keys")
     enough = F.count("*").over(Window.partitionBy("node", "part")) >= F.col("need")
     # each pass keeps the entries that other nodes have, too: few of all
-    met = in_passes("key", lambda own: _met(entries.where(own), hot), "met")
+    met = in_passes("key", lambda own: _met(entries.where(own), hot), "met", passes)
     alive = met.withColumn("enough", enough).where("enough").drop("enough")
     return _shared(materialize(alive, "alive"), hot).select("node", "least").where("node <> least")
 
@@ -325,14 +330,20 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
-    keyed = materialize(own.mapInArrow(_keyed(ngram, percent), "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>, counts array<int>, needs array<int>"), "shingle-keys")
-
-    # one row a node; copies meet in the partial aggregate. From here on rows need no keys
-    sets_of = keyed.where("node is not null")
-    nodes = in_passes("node", lambda own: sets_of.where(own).groupBy("node").agg(F.min(F.struct("keys", "counts", "needs")).alias("x")).select("node", "x.*"), "node-keys")
-    full, keyed = keyed, materialize(keyed.drop("keys", "counts", "needs"), "shingle-nodes")
-    discard(full)
-    stars = _stars(nodes)
+    passes = passes_for(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    made = own.mapInArrow(_keyed(ngram, percent), "doc_id bigint, text_id bigint, n_shingles bigint, node bigint, keys array<bigint>, counts array<int>, needs array<int>")
+    full = materialize(made.withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(passes)).cast("int")), "shingle-keys", by="turn")
+    # from here on rows need no keys
+    keyed = materialize(full.drop("keys", "counts", "needs", "turn"), "shingle-nodes")
+
+    # one row a node; copies meet in the partial aggregate. Keys stand on disk once: those of a pass go when its nodes have them
+    parts = []
+    for turn in range(passes):
+        sets_of = full.where((F.col("turn") == turn) & F.col("node").isNotNull())
+        parts.append(materialize(sets_of.groupBy("node").agg(F.min(F.struct("keys", "counts", "needs")).alias("x")).select("node", "x.*"), "node-keys"))
+        discard(full, part=f"turn={turn}")
+    nodes = reduce(DataFrame.unionByName, parts)
+    stars = _stars(nodes, passes)
     # a node of several least members is linked to the first of them only, and the others are linked to it: most nodes of a large group share these pairs
     met = stars.withColumn("first", F.min("least").over(Window.partitionBy("node")))
     pairs = met.select(F.when(F.col("least") == F.col("first"), F.col("node")).otherwise(F.col("least")).alias("node"), "first").distinct()

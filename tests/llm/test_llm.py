@@ -647,3 +647,37 @@ def test_jaccard_keys_go_in_passes(spark, monkeypatch):
     assert found == {i: i for i in range(40)} | {100 + i: i for i in range(20)} | {200: 0}
     # no single shuffle holds all keys
     assert written.count("node-keys") == written.count("met") == jaccard_join.PASSES > 1
+
+
+def test_keys_of_the_jaccard_join_stand_on_disk_once(spark, monkeypatch):
+    """The rows of a pass leave the first table when its nodes have their keys, and passes grow with the texts."""
+    import os
+    import random
+
+    from strandlake.llm import jaccard_join
+
+    held = []
+    real = jaccard_join.materialize
+
+    def counted(df, name, **options):
+        out = real(df, name, **options)
+        if name == "shingle-keys":
+            held.append(out)
+        if name == "node-keys":
+            held.append(sum(os.path.exists(f.removeprefix("file://")) for f in held[0].inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    monkeypatch.setattr(jaccard_join, "PASS_BYTES", 4_000)
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, texts[3]), (901, texts[4] + " xx"), (902, None), (None, texts[5])]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80)
+    got = {x.doc_id: x.component_id for x in found.collect() if x.doc_id is not None}
+    assert len(got) == 153 and got[900] == 3 and got[901] == 4 and got[902] == 902 and all(got[i] == i for i in range(150))
+    left = held[1:]
+    assert len(left) == jaccard_join.passes_for(sum(len(t or "") for _, t in rows)) > jaccard_join.PASSES
+    # before, all of them stood until the last pass had ended
+    assert left[0] > left[len(left) // 2] > left[-1] > 0
+    monkeypatch.undo()
+    assert jaccard_join.passes_for(0) == jaccard_join.passes_for(500_000_000) == 4 and jaccard_join.passes_for(6_000_000_000) == 15
